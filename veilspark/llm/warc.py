@@ -87,7 +87,8 @@ class _Writer(DataSourceArrowWriter):
             for page_id, url, html, record_type, refers_to in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
                 if file is None:
                     name, at, starts = f"{task}-{len(done):05d}.warc.gz", 0, [0]
-                    file = store.open_output_stream(f"{root}/{name}")
+                    # the stream must not compress again for the name's sake
+                    file = store.open_output_stream(f"{root}/{name}", compression=None)
                 if at - starts[-1] >= SPLIT_BYTES:
                     starts.append(at)
                 squeeze = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
