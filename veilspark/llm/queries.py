@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, media, urls, warc
+from . import bpe, chat, decontaminate, media, simhash, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -37,5 +45,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {"op5_url_rules": op5_url_rules, "op6_media_archive": op6_media_archive, "op7_chat_windows": op7_chat_windows, "op8_warc_chunks": op8_warc_chunks, "op9_byte_bpe": op9_byte_bpe}
+QUERIES = {"op2_simhash_golay": op2_simhash_golay, "op4_positional_index": op4_positional_index, "op5_url_rules": op5_url_rules, "op6_media_archive": op6_media_archive, "op7_chat_windows": op7_chat_windows, "op8_warc_chunks": op8_warc_chunks, "op9_byte_bpe": op9_byte_bpe}
 ORACLES: dict[str, str] = {}
