@@ -201,7 +201,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
     frame = docs.select(*kept)
     from pyspark.sql.types import DoubleType, StructType
 
-    return frame.mapInArrow(run, StructType(frame.schema.fields).add("score", DoubleType()))
+    return frame.mapInArrow(run, StructType([*frame.schema.fields]).add("score", DoubleType()))
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, threshold: float = 0.3) -> DataFrame:
