@@ -1,0 +1,95 @@
+import math
+import re
+from itertools import product
+from zlib import crc32
+
+import numpy as np
+
+from veilspark.llm import hmm
+
+
+def slow_tokens(text):
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", lowered)] + [b""]
+
+
+def random_model(classes, states, seed):
+    draw = np.random.default_rng(seed)
+    start, moves, emits = draw.random(states), draw.random((states, states)), draw.random((classes, states))
+    return hmm.Model(start / start.sum(), moves / moves.sum(1, keepdims=True), emits / emits.sum(0))
+
+
+def brute_log(model, s):
+    total = 0.0
+    for path in product(range(len(model.start)), repeat=len(s)):
+        p = model.start[path[0]] * model.emits[s[0], path[0]]
+        for a, b, w in zip(path, path[1:], s[1:]):
+            p *= model.moves[a, b] * model.emits[w, b]
+        total += p
+    return math.log10(total)
+
+
+def test_forward_over_all_paths_and_spans(monkeypatch):
+    model = random_model(5, 3, 1)
+    draw = np.random.default_rng(2)
+    some = [draw.integers(0, 5, n) for n in (1, 4, 7, 6, 2)]
+    assert np.allclose(hmm.log_likelihoods(model, some), [brute_log(model, s) for s in some])
+    monkeypatch.setattr(hmm, "SPAN", 2)
+    assert np.allclose(hmm.log_likelihoods(model, some), [brute_log(model, s) for s in some])
+    monkeypatch.setattr(hmm, "SPAN", 64)
+    long = draw.integers(0, 5, 5000)
+    whole = hmm.log_likelihoods(model, [long])
+    monkeypatch.setattr(hmm, "SPAN", 10_000)
+    assert np.allclose(whole, hmm.log_likelihoods(model, [long]))
+
+
+def test_expected_counts_over_all_paths():
+    model = random_model(4, 2, 3)
+    s = np.array([0, 3, 1, 1, 2])
+    want = [np.zeros(2), np.zeros((2, 2)), np.zeros((4, 2))]
+    total = 10 ** brute_log(model, s)
+    for path in product(range(2), repeat=len(s)):
+        p = model.start[path[0]] * model.emits[s[0], path[0]]
+        for a, b, w in zip(path, path[1:], s[1:]):
+            p *= model.moves[a, b] * model.emits[w, b]
+        want[0][path[0]] += p / total
+        for a, b in zip(path, path[1:]):
+            want[1][a, b] += p / total
+        for w, a in zip(s, path):
+            want[2][w, a] += p / total
+    into = [np.zeros(2), np.zeros((2, 2)), np.zeros((4, 2)), 0.0]
+    hmm.expected_counts(model, [s, s[:2]], into)
+    short = [np.zeros(2), np.zeros((2, 2)), np.zeros((4, 2)), 0.0]
+    hmm.expected_counts(model, [s[:2]], short)
+    for a, b, c in zip(into, want, short):
+        assert np.allclose(a - c, b)
+
+
+ROWS = [(i, f"{'The der'.split()[i % 2]} " * (i % 5) + f"word{i % 11} É{i % 3} rare{i}") for i in range(60)] + [(70, None), (71, ""), (None, "the the"), (5, None), (72, "the word1 " * 3000), (3, "The der"), (3, "The der")]
+
+
+def test_base_and_totals(spark):
+    frame = spark.createDataFrame([(*r, 1.5) for r in ROWS], "doc_id long, text string, score double")
+    got = hmm.evaluate(frame, head_words=8, states=3).collect()
+    held = lambda d: crc32(("" if d is None else str(d)).encode()) % 7 == 2
+    counts = {}
+    for d, text in ROWS:
+        if not held(d):
+            for w in slow_tokens(text):
+                counts[w] = counts.get(w, 0) + 1
+    n, v = sum(counts.values()), len(counts)
+    want = {}
+    for d, text in ROWS:
+        words = slow_tokens(text)
+        want[d, len(words), sum(counts.get(w, 0) > 0 for w in words), round(sum(math.log10((counts.get(w, 0) + 1) / (n + v + 1)) for w in words), 6)] = held(d)
+    assert {(r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)): r.held_out for r in got} == want
+    assert len(got) == len({(d, t or "") for d, t in ROWS}) and {r.train_tokens for r in got} == {n}
+    assert all(math.isfinite(r.score) and r.score < 0 for r in got)
+    assert hmm.evaluate(frame.limit(0)).count() == 0
+
+
+def test_states_help(spark):
+    draw = np.random.default_rng(4)
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{k}" for k in draw.integers(0, 50, 60))) for i in range(200)]
+    got = hmm.evaluate(spark.createDataFrame(rows, "doc_id long, text string"), states=2).where("held_out").collect()
+    assert sum(r.score for r in got) > sum(r.base_score for r in got) * 0.95

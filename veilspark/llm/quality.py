@@ -173,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, learn) -> dict | None:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select("kind", "text")
     got = _features_of(texts).toArrow()
     kind = got.column("kind").to_numpy()
-    x = np.array(got.column("x").to_pylist()).reshape(len(kind), -1)
+    x = np.array(got.column("x").to_pylist()).reshape(len(kind), len(NAMES))
     order = np.lexsort(x.T) if len(kind) else kind
     kind, x = kind[order], x[order]
     shuffled = np.random.default_rng(SEED).permutation(len(kind))

@@ -16,7 +16,7 @@ SAMPLE = 8_000
 #: Letters of the shortest and the longest stem in the lexicon.
 SHORTEST, LONGEST = 4, 10
 #: A stem is in the lexicon if it is in so large a share of toxic documents (and this many), with such log odds.
-SHARE, LEAST, ODDS = 0.004, 3, 3.0
+SHARE, LEAST, ODDS = 0.012, 3, 3.0
 #: A longer stem replaces a shorter one that it accounts for by this share.
 ACCOUNTS = 0.9
 #: Letters from which a stem is matched with one edit.
