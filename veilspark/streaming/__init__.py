@@ -1,0 +1,2 @@
+"""Streams have no place in the model: a session answers queries on whole tables. Reports on unbounded streams need
+mechanisms of continual observation, which are another matter."""
