@@ -1,6 +1,6 @@
 """Differentially private analytics on Spark DataFrames."""
 
-from .binning import BinningSpec
+from .functions.binning import BinningSpec
 from .budget import ApproxDPBudget, PrivacyBudget, PureDPBudget, RhoZCDPBudget
 from .config import config
 from .keyset import KeySet

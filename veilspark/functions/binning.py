@@ -8,7 +8,7 @@ from itertools import pairwise
 
 from pyspark.sql import functions as F
 
-from .types import ColumnDescriptor, ColumnType
+from ..types import ColumnDescriptor, ColumnType
 
 
 def _label(edge, digits: int) -> str:

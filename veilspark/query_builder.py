@@ -9,7 +9,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
-from .binning import BinningSpec
+from .functions.binning import BinningSpec
 from .config import config
 from .keyset import KeySet
 from .plans import ir
