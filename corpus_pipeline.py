@@ -70,7 +70,9 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = common.cut(stage(spark, docs, sf_dir), name.split()[0].lower())
+        kept = common.cut(stage(spark, docs, sf_dir), name.split()[0].lower())
+        common.drop_scratch(docs)
+        docs = kept
     return docs
 
 

@@ -24,22 +24,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/veilspark/{name}-{uuid.uuid4().hex}"
+    """A fresh path in this application's part of the shared folder."""
+    return f"{shared_dir(spark)}/veilspark-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def cut(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes a frame to the shared folder and rereads it: lost executors cost no recomputation of what came before."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._scratch = path
+    return found
 
 
 def drop_scratch(df: DataFrame) -> None:
-    """Deletes the files of a frame made by cut(), once nothing reads it any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes the files of a frame made by cut(), once nothing reads it any more; other frames are left alone."""
+    path = getattr(df, "_scratch", None)
+    if path:
+        _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all tables and archives that this application made in the shared folder; results that read them end with them."""
+    _delete(spark, f"{shared_dir(spark)}/veilspark-{spark.sparkContext.applicationId}")
 
 
 def small_batches(spark: SparkSession) -> None:

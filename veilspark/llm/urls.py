@@ -101,3 +101,40 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
         F.coalesce(F.col("won.verdict"), F.when(F.col("by_alias"), "block"), F.lit("allow")).alias("verdict"),
         "component",
     )
+
+
+#: judge() of pages by RULES, in DuckDB's SQL. Components are found by a recursive walk, which only small tables bear.
+ORACLE_SQL = r"""
+WITH RECURSIVE p AS (
+    SELECT page_id, url, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), q AS (
+    SELECT page_id, url, html, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path,
+        CASE WHEN contains(url, '://') THEN regexp_replace(regexp_replace(url, '^[^:/?#]*://', ''), '#.*$', '') END AS node
+    FROM p
+), rules(verdict, rh, rp) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+judged AS (
+    SELECT q.*, (SELECT {'rule': rh || rp, 'verdict': r.verdict} FROM rules r WHERE (q.host = rh OR ends_with(q.host, '.' || rh)) AND starts_with(q.path, rp)
+        ORDER BY length(rh) + length(rp) DESC, r.verdict LIMIT 1) AS won FROM q
+), tags AS (
+    SELECT url, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM p WHERE url IS NOT NULL
+), targets AS (
+    SELECT url, CASE WHEN regexp_matches(tag, '(?i)\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+        WHEN regexp_matches(tag, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>;]+)', 1) ELSE '' END AS t FROM tags
+), linked AS (
+    SELECT url, CASE WHEN starts_with(t, '/') THEN regexp_extract(url, '^([^:/?#]*://[^/?#]*)', 1) || t ELSE t END AS t FROM targets
+), edges AS (
+    SELECT a, b FROM (
+        SELECT regexp_replace(regexp_replace(url, '^[^:/?#]*://', ''), '#.*$', '') AS a, regexp_replace(regexp_replace(t, '^[^:/?#]*://', ''), '#.*$', '') AS b FROM linked WHERE contains(t, '://')
+        UNION SELECT node, regexp_replace(regexp_replace(regexp_replace(node, '[?&](utm_[a-z]+|ref)=[^&]*', '', 'g'), '\.html$', ''), '/+$', '') FROM q WHERE node IS NOT NULL
+    ) WHERE a <> b
+), pairs AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+walk(node, seen) AS (SELECT a, a FROM pairs UNION SELECT w.node, x.b FROM walk w JOIN pairs x ON w.seen = x.a),
+component AS (SELECT node, min(seen) AS component FROM walk GROUP BY node),
+blocked AS (
+    SELECT component FROM judged JOIN component USING (node) WHERE won IS NOT NULL GROUP BY component
+    HAVING max(CASE WHEN won.verdict = 'block' THEN 1 ELSE 0 END) = 1 AND max(CASE WHEN won.verdict = 'allow' THEN 1 ELSE 0 END) = 0
+)
+SELECT page_id, host, path, won.rule AS rule, coalesce(won.verdict, CASE WHEN b.component IS NOT NULL THEN 'block' END, 'allow') AS verdict, b.component AS component
+FROM judged j LEFT JOIN component c USING (node) LEFT JOIN blocked b ON c.component = b.component
+"""
