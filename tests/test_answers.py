@@ -14,6 +14,7 @@ from veilspark import (
     ColumnDescriptor,
     ColumnType,
     KeySet,
+    KeySetPlan,
     MaxGroupsPerID,
     MaxRowsPerGroupPerID,
     MaxRowsPerID,
@@ -197,6 +198,14 @@ def test_groups(spark):
         QueryBuilder("t").groupby("A")
     with config.features.auto_partition_selection.on():
         assert answer(session, QueryBuilder("t").groupby(["A"]).count()) == [("0", 3), ("1", 1)]
+        plan = (KeySetPlan.detect("A") * KeySet.from_dict({"B": [0, 1]})).filter("A <> '1'").union(KeySet.from_tuples([("9", 9)], ["A", "B"]))
+        assert answer(session, QueryBuilder("t").groupby(plan).sum("X", 0, 9)) == [("0", 0, 1), ("0", 1, 2), ("9", 9, 0)]
+        assert answer(session, QueryBuilder("t").groupby(plan["B"].join(KeySet.from_dict({"B": [1]})) - KeySet.from_dict({"B": [0]})).count()) == [(1, 1)]
+        finite = Session.from_dataframe(ApproxDPBudget(9, 0.1), "t", session._tables["t"].df, AddMaxRows(1))
+        info = finite._noise_info(QueryBuilder("t").groupby("A").count(), ApproxDPBudget(2, 0.1))
+        assert [i["noise_parameter"] for i in info] == [1, 1]
+        finite.evaluate(QueryBuilder("t").groupby("A").count_distinct(), ApproxDPBudget(2, 0.1)).collect()
+        assert finite.remaining_privacy_budget == ApproxDPBudget(7, 0)
 
 
 def test_rejected(spark, budget):

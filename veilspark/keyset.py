@@ -380,3 +380,58 @@ class KeySet:
 def _keyset(x) -> None:
     if not isinstance(x, KeySet):
         raise TypeError(f"a KeySet is wanted, not {type(x).__name__}")
+
+
+class KeySetPlan:
+    """Key sets of which some columns are to be found privately when the query runs.
+
+    The detected columns become a KeySet then, and what was done to the plan is done to it.
+    """
+
+    def __init__(self, detected: tuple[str, ...], steps: tuple = (), columns: tuple[str, ...] | None = None):
+        self.detected, self.steps = detected, steps
+        self._columns = detected if columns is None else columns
+
+    @classmethod
+    def detect(cls, columns: Iterable[str]) -> KeySetPlan:
+        names = tuple([columns] if isinstance(columns, str) else columns)
+        if not names or len(set(names)) != len(names):
+            raise ValueError("the columns to detect have to be some, each once")
+        return cls(names)
+
+    def columns(self) -> list[str]:
+        return list(self._columns)
+
+    def _then(self, step, columns) -> KeySetPlan:
+        return KeySetPlan(self.detected, (*self.steps, step), tuple(columns))
+
+    def __mul__(self, other: KeySet) -> KeySetPlan:
+        _keyset(other)
+        if set(self._columns) & set(other.columns()):
+            raise ValueError("both sides have columns of one name")
+        return self._then(lambda k: k * other, [*self._columns, *other.columns()])
+
+    def __sub__(self, other: KeySet) -> KeySetPlan:
+        _keyset(other)
+        return self._then(lambda k: k - other, self._columns)
+
+    def join(self, other: KeySet) -> KeySetPlan:
+        _keyset(other)
+        return self._then(lambda k: k.join(other), [*self._columns, *(c for c in other.columns() if c not in self._columns)])
+
+    def union(self, other: KeySet) -> KeySetPlan:
+        _keyset(other)
+        return self._then(lambda k: k.union(other), self._columns)
+
+    def filter(self, condition: str | Column) -> KeySetPlan:
+        return self._then(lambda k: k.filter(condition), self._columns)
+
+    def __getitem__(self, names) -> KeySetPlan:
+        names = [names] if isinstance(names, str) else list(names)
+        if set(names) - set(self._columns):
+            raise ValueError(f"not columns of this plan: {sorted(set(names) - set(self._columns))}")
+        return self._then(lambda k: k[names], names)
+
+    def resolve(self, found: KeySet) -> KeySet:
+        """The key set that the plan is with these detected keys."""
+        return reduce(lambda k, step: step(k), self.steps, found)

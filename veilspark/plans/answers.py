@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..budget import ApproxDPBudget, PrivacyBudget, RhoZCDPBudget
-from ..keyset import BROADCAST_KEYS, KeySet, join_keys, spark_session
+from ..keyset import BROADCAST_KEYS, KeySet, KeySetPlan, join_keys, spark_session
 from ..operators.noise import Noise, NoiseMechanism, discrete_laplace, gumbel, uniform
 from ..protect import MaxGroupsPerID, MaxRowsPerGroupPerID, MaxRowsPerID
 from ..types import NUMERIC, ColumnType, Grouped, Ids, Rows, quoted
@@ -289,8 +289,9 @@ def compile_answer(agg: ir.Aggregate, scope: Scope, budget: PrivacyBudget) -> An
     if isinstance(agg.keys, KeySet):
         keys, named = agg.keys, list(agg.keys.columns())
     else:
-        keys, named = None, list(agg.keys)
-        t.meta.require(named)
+        plan = agg.keys if isinstance(agg.keys, KeySetPlan) else KeySetPlan.detect(agg.keys)
+        keys, named = None, plan.columns()
+        t.meta.require([*named, *plan.detected])
         if not isinstance(budget, ApproxDPBudget):
             raise ValueError("finding group keys privately needs an ApproxDP budget")
         if not budget.is_infinite and not budget.amounts[1]:
@@ -302,14 +303,20 @@ def compile_answer(agg: ir.Aggregate, scope: Scope, budget: PrivacyBudget) -> An
     if clash:
         raise ValueError(f"outputs {clash} have names of group keys")
     _own_group(t.meta, grouping)
+    chooser = t
     if agg.kind == "count_distinct":
         t = _distinct(agg, t, grouping)
     t = bounded(t, grouping, zcdp)
     if keys is None:
+        # half of epsilon and all of delta find the keys; additive noise has no use for delta
         half = ApproxDPBudget(budget.amounts[0] if budget.is_infinite else budget.amounts[0] / 2, budget.amounts[1])
-        chosen = _groups(ir.Aggregate(agg.child, KeySet.from_dict({}), "get_groups", (), columns=tuple(grouping)), t, half)
+        found = _groups(ir.Aggregate(agg.child, KeySet.from_dict({}), "get_groups", (), columns=plan.detected), chooser, half)
         rest = half if budget.is_infinite else ApproxDPBudget(budget.amounts[0] / 2, 0)
-        return Answer(lambda: _measure(agg, t, KeySet.from_dataframe(chosen.run()), grouping, rest)[0](), _measure(agg, t, KeySet.from_dict({}), grouping, rest, dry=True)[1], None)
+
+        def run() -> DataFrame:
+            return _measure(agg, t, plan.resolve(KeySet.from_dataframe(found.run())), grouping, rest)[0]()
+
+        return Answer(run, (*found.noises, *_measure(agg, t, KeySet.from_dict({}), grouping, rest)[1]), None)
     run, noises = _measure(agg, t, keys, grouping, budget)
     return Answer(run, noises, keys)
 
@@ -334,7 +341,7 @@ def _distinct(agg: ir.Aggregate, t: Table, grouping: list[str]) -> Table:
     return Table(df, meta)
 
 
-def _measure(agg: ir.Aggregate, t: Table, keys: KeySet, grouping, budget, dry: bool = False):
+def _measure(agg: ir.Aggregate, t: Table, keys: KeySet, grouping, budget):
     """(function that gives the DataFrame, noises)."""
     if agg.kind == "quantile":
         return _quantile(agg, t, keys, grouping, budget)
@@ -345,8 +352,6 @@ def _measure(agg: ir.Aggregate, t: Table, keys: KeySet, grouping, budget, dry: b
     parts, native, plain, out = recipe(agg, kind)
     spent = additive(budget, agg.mechanism)
     noises = tuple(noise_for(p, t.meta.metric, grouping, spent, len(parts), gaussian) for p in parts)
-    if dry:
-        return None, noises
     name, width = agg.names[0], len(grouping)
 
     def run() -> DataFrame:

@@ -311,6 +311,15 @@ def _total(meta: TableMeta) -> Fraction:
     return m.rows if isinstance(m, Rows) else m.groups * m.rows
 
 
+def _multiplicity(public: DataFrame, on: list[str]) -> int:
+    """Most rows of a key. The table is public, so its keys may be looked at; once for each table and key."""
+    known = public.__dict__.setdefault("_veilspark_multiplicity", {})
+    key = tuple(sorted(on))
+    if key not in known:
+        known[key] = public.groupBy(*map(quoted, on)).count().agg(F.max("count")).first()[0] or 0
+    return known[key]
+
+
 def _join_public(node: ir.JoinPublic, scope: Scope) -> Table:
     t = compile_table(node.child, scope)
     if isinstance(node.public, str):
@@ -327,8 +336,7 @@ def _join_public(node: ir.JoinPublic, scope: Scope) -> Table:
     for own in (t.meta.id_column, t.meta.grouping_column):
         if own in to_left:
             raise ValueError(f"column {own!r} marks IDs or groups, so it has to be joined on or be in one table only")
-    # the table is public, so its keys may be looked at
-    most = public.groupBy(*map(quoted, on)).count().agg(F.max("count")).first()[0] or 0
+    most = _multiplicity(public, on)
     if node.how == "left":
         most = max(1, most)
     constraints = simplify(_multiplied(t.meta.constraints, most, to_left))

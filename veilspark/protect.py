@@ -111,8 +111,10 @@ class MaxGroupsPerID(Constraint):
         _positive(self.max, "max")
 
     def enforce(self, df, id_column):
-        group = quoted(self.grouping_column)
-        return _ranked(df, F.dense_rank(), W.partitionBy(quoted(id_column)).orderBy(F.xxhash64(quoted(id_column), group), group), self.max)
+        # groups are ranked without their rows, so an ID with very many rows costs no more than its groups
+        pairs = df.select(quoted(id_column).alias("__id"), quoted(self.grouping_column).alias("__group")).distinct()
+        kept = _ranked(pairs, F.row_number(), W.partitionBy("__id").orderBy(F.xxhash64("__id", "__group"), "__group"), self.max)
+        return df.join(kept, quoted(id_column).eqNullSafe(F.col("__id")) & quoted(self.grouping_column).eqNullSafe(F.col("__group")), "left_semi")
 
 
 @dataclass(frozen=True)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from .functions.binning import BinningSpec
 from .config import config
-from .keyset import KeySet
+from .keyset import KeySet, KeySetPlan
 from .plans import ir
 from .protect import Constraint
 from .types import ColumnDescriptor, ColumnType, descriptor
@@ -248,10 +248,11 @@ class QueryBuilder(_Aggregations):
         """Groups of columns that are safe to tell of."""
         return Query(ir.Aggregate(self._node, KeySet.from_dict({}), "get_groups", (), columns=_columns(columns) or None))
 
-    def groupby(self, keys: KeySet | str | Iterable[str]) -> GroupedQueryBuilder:
-        """Groups by the keys of a KeySet, or, where that feature is on, by columns whose keys are chosen privately."""
+    def groupby(self, keys: KeySet | KeySetPlan | str | Iterable[str]) -> GroupedQueryBuilder:
+        """Groups by the keys of a KeySet, or, where that feature is on, by columns or a plan whose keys are chosen privately."""
         if not isinstance(keys, KeySet):
             config.features.auto_partition_selection.require()
+        if not isinstance(keys, (KeySet, KeySetPlan)):
             keys = _columns(keys)
             if not keys:
                 raise ValueError("there has to be a column to group by")

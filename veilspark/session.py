@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .budget import ApproxDPBudget, PrivacyBudget, PureDPBudget, affordable, settle
+from .keyset import KeySet, KeySetPlan
 from .plans.answers import Answer, compile_answer
 from .plans.tables import Scope, Table, compile_table
 from .protect import MaxGroupsPerID, MaxRowsPerGroupPerID, MaxRowsPerID
@@ -177,7 +178,7 @@ class Session:
         budget = self._request(privacy_budget)
         plan = query._plan
         answer = compile_answer(plan, self._scope(), budget)
-        needs_delta = plan.kind == "get_groups" or isinstance(plan.keys, tuple)
+        needs_delta = plan.kind == "get_groups" or not isinstance(plan.keys, KeySet)
         if isinstance(budget, ApproxDPBudget) and not needs_delta and not budget.is_infinite:
             budget = ApproxDPBudget(budget.amounts[0], 0)  # additive noise and the exponential mechanism use no delta
         return answer, budget
@@ -277,7 +278,8 @@ class Session:
         lines = [f"{'Query' if plan else 'Table'}:", _shown(table)]
         keys = plan.keys if plan else getattr(obj, "_keys", None)
         if keys is not None and not isinstance(obj, QueryBuilder):
-            lines.append(f"  grouped by {keys!r}" if not isinstance(keys, tuple) else f"  grouped by {', '.join(keys)}, chosen privately")
+            private = keys if isinstance(keys, tuple) else tuple(keys.columns()) if isinstance(keys, KeySetPlan) else None
+            lines.append(f"  grouped by {keys!r}" if private is None else f"  grouped by {', '.join(private)}, chosen privately")
         if plan:
             lines.append(f"  {plan.kind} to {', '.join(plan.names)}")
         return "\n".join(lines)
