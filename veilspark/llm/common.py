@@ -14,12 +14,16 @@ LOWER = UPPER.lower()
 ARROW_BATCH_BYTES = 8 << 20
 
 
+#: Folders for applications whose session names none, as in tests.
+_FALLBACK: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a fresh local one only where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="veilspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _FALLBACK.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="veilspark-")
+        _FALLBACK[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 
