@@ -6,16 +6,18 @@ import datetime
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .types import KEY_TYPES, ColumnDescriptor, ColumnType, coerce, infer, quoted
 
-#: Rows of literal keys that are multiplied on the driver; more are made by arithmetic on the executors.
+#: Rows of literal keys that are multiplied on the driver; larger products are cross joins.
 IN_MEMORY = 1 << 16
 #: Keys that are sent to every task of a join.
 BROADCAST_KEYS = 100_000
+_ARROW = {ColumnType.INTEGER: pa.int64(), ColumnType.VARCHAR: pa.string(), ColumnType.DATE: pa.date32()}
 
 
 def spark_session() -> SparkSession:
@@ -46,7 +48,8 @@ class _Literal:
 
     def frame(self) -> DataFrame:
         schema = T.StructType([T.StructField(n, d.column_type.spark, d.allow_null) for n, d in self.columns.items()])
-        return spark_session().createDataFrame(self.rows, schema)
+        table = pa.Table.from_arrays([pa.array([r[k] for r in self.rows], _ARROW[d.column_type]) for k, d in enumerate(self.columns.values())], names=list(self.columns))
+        return spark_session().createDataFrame(table, schema)
 
 
 class _Frame:
@@ -74,28 +77,9 @@ class _Cross:
         return None if None in sizes else reduce(lambda a, b: a * b, sizes, 1)
 
     def frame(self) -> DataFrame:
-        literals = [f for f in self.factors if isinstance(f, _Literal) and len(f.rows) <= IN_MEMORY]
-        frames = [f.frame() for f in self.factors if not any(f is x for x in literals)]
-        if len(literals) > 1:
-            frames.insert(0, self._counted(literals))
-        else:
-            frames = [f.frame() for f in literals] + frames
-        return reduce(lambda a, b: a.crossJoin(b), frames)
-
-    @staticmethod
-    def _counted(literals: list[_Literal]) -> DataFrame:
-        """The product of literals as a range of numbers, each of which names a row of every factor."""
-        spark = spark_session()
-        total = reduce(lambda a, b: a * b, (len(f.rows) for f in literals))
-        numbers = spark.range(total)
-        out, stride = [], 1
-        for f in literals:
-            at = F.floor(F.col("id") / stride) % len(f.rows) if stride > 1 else F.col("id") % len(f.rows)
-            for k, (name, d) in enumerate(f.columns.items()):
-                values = F.lit([r[k] for r in f.rows]) if all(r[k] is not None for r in f.rows) and d.column_type is not ColumnType.DATE else F.array(*(F.lit(r[k]) for r in f.rows))
-                out.append(F.get(values.cast(T.ArrayType(d.column_type.spark)), at.cast("int")).alias(name))
-            stride *= len(f.rows)
-        return numbers.select(*out)
+        # the largest factor is streamed; Spark sends the others to its tasks where they are small
+        sized = sorted(self.factors, key=lambda f: -(f.size_bound if f.size_bound is not None else 1 << 60))
+        return reduce(lambda a, b: a.crossJoin(b), (f.frame() for f in sized))
 
 
 class _Project:
