@@ -17,6 +17,7 @@ from .plans.tables import Scope, Table, compile_table
 from .protect import MaxGroupsPerID, MaxRowsPerGroupPerID, MaxRowsPerID
 from .query_builder import GroupedQueryBuilder, Query, QueryBuilder
 from .sources.registry import Registry, check_id
+from .sources.shipping import ship
 from .types import ColumnDescriptor, ColumnType, Grouped, Ids, Rows, coerce, quoted
 
 
@@ -38,7 +39,9 @@ class Session:
             return Session(self.budget, self.tables(), {n: coerce(df) for n, df in self.public.items()})
 
     def __init__(self, privacy_budget: PrivacyBudget, tables: dict[str, Table], public: dict[str, DataFrame]):
-        self._given, self._remaining = privacy_budget, privacy_budget
+        self._remaining = privacy_budget
+        for table in tables.values():
+            ship(table.df.sparkSession)
         self._tables, self._public = dict(tables), public
         self._views: dict[str, Table] = {}
         self._cached: dict[str, DataFrame] = {}
