@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shipping import ship
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Bytes of an Arrow batch handed to Python, so that long texts do not pile up in a worker.
@@ -59,6 +61,8 @@ def release(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Prepares a session for Python workers: small Arrow batches, and this package on their path."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 
