@@ -153,3 +153,32 @@ def digests(turns: DataFrame, **options) -> DataFrame:
             "formatted_chars",
         )
     )
+
+
+#: digests() of conversations and of one with control strings, in DuckDB's SQL.
+ORACLE_SQL = rf"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), n AS (
+    SELECT *, row_number() OVER o - 1 AS pos, sum(tok) OVER (o ROWS UNBOUNDED PRECEDING) AS upto
+    FROM (SELECT *, len(regexp_split_to_array(text, '\s+')) + 1 AS tok FROM t) WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), w AS (
+    SELECT *, (upto - tok) // {BUDGET} AS win FROM n
+), starts AS (
+    SELECT conv_id, win, min(pos) AS start FROM w GROUP BY ALL HAVING min(pos) > 0
+), pieces AS (
+    SELECT conv_id, pos, CASE WHEN role = 'assistant' THEN 'target' ELSE 'input' END AS kind, role, text FROM w
+    UNION ALL SELECT w.conv_id, w.pos, 'repeat', role, text FROM starts s JOIN w ON w.conv_id IS NOT DISTINCT FROM s.conv_id
+        AND (w.pos BETWEEN s.start - {HISTORY} AND s.start - 1 OR w.pos = 0 AND w.role = 'system')
+), f AS (
+    SELECT conv_id, sum(length('<turn ' || pos || ' ' || kind || ' ' || replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '>'
+        || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</turn>' || chr(10))) AS chars FROM pieces GROUP BY ALL
+), g AS (
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256
+    FROM w GROUP BY conv_id
+)
+SELECT g.*, CAST(f.chars AS BIGINT) AS formatted_chars FROM g JOIN f ON g.conv_id IS NOT DISTINCT FROM f.conv_id
+"""

@@ -42,13 +42,14 @@ def anchored_windows(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW)
     """(item, window, term, ahead, checks): the window's rarest term in docs, the words ahead of it, and 0-based offsets of all its words, rarest first."""
     windows = common.cut(windows_of(benchmark, size), "windows")
     terms = common.cut(windows.select(F.explode("window").alias("term")).distinct(), "terms")
-    counts = (
+    counts = common.cut(
         docs.select(F.explode(words(F.col("text").cast("string"))).alias("term"))
         .join(_small(terms), "term")
         .groupBy("term")
-        .agg(F.count("*").alias("n"))
+        .agg(F.count("*").alias("n")),
+        "counts",
     )
-    positions = windows.select("item", "window", F.posexplode("window").alias("ahead", "term")).join(counts, "term", "left")
+    positions = windows.select("item", "window", F.posexplode("window").alias("ahead", "term")).join(_small(counts), "term", "left")
     ranked = positions.groupBy("item", "window").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "ahead"))).alias("ranked"))
     # a window with a word that no document has can't occur
     return ranked.where("ranked[0].n > 0").select("item", "window", F.expr("ranked[0].term").alias("term"), F.expr("ranked[0].ahead").alias("ahead"), F.expr("transform(ranked, r -> r.ahead)").alias("checks"))
@@ -111,3 +112,33 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
             (F.size("items") > 0).alias("contaminated"),
         )
     )
+
+
+#: contamination() of documents by benchmark, in DuckDB's SQL.
+ORACLE_SQL = r"""
+WITH d AS (
+    SELECT DISTINCT doc_id, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), b AS (
+    SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark
+), windows AS (
+    SELECT DISTINCT item, array_to_string(list_slice(w, i, i + 9), ' ') AS gram, least(10, len(w)) AS size
+    FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT size FROM windows),
+starts AS (
+    SELECT doc_id, text, i, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS gram
+    FROM (SELECT doc_id, text, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d CROSS JOIN sizes WHERE len(w) >= size)
+), hits AS (
+    SELECT s.doc_id, s.text, s.i, s.size, item FROM starts s JOIN windows x ON s.gram = x.gram AND s.size = x.size
+), covered AS (
+    SELECT doc_id, text, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, text, unnest(range(i, i + size)) AS p FROM hits) GROUP BY ALL
+), named AS (
+    SELECT doc_id, text, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, text, item FROM hits) GROUP BY ALL
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d
+LEFT JOIN covered c ON d.doc_id IS NOT DISTINCT FROM c.doc_id AND d.text IS NOT DISTINCT FROM c.text
+LEFT JOIN named n ON d.doc_id IS NOT DISTINCT FROM n.doc_id AND d.text IS NOT DISTINCT FROM n.text
+"""

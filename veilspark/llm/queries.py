@@ -69,6 +69,11 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_hidden_markov": op10_hidden_markov,
 }
-#: None of these can be put in SQL whole: learned models, archives, merges, and components of any depth. tests/llm compare them
-#: with brute force, exact round trips or held-out labels.
-ORACLES: dict[str, str] = {}
+#: The others can't be put in SQL whole: learned models, images, merges and hashes. tests/llm compare them with
+#: brute force, exact round trips or held-out labels.
+ORACLES: dict[str, str] = {
+    "op4_positional_index": decontaminate.ORACLE_SQL,
+    "op5_url_rules": urls.ORACLE_SQL,
+    "op7_chat_windows": chat.ORACLE_SQL,
+    "op8_warc_chunks": warc.ORACLE_SQL,
+}
