@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from . import common
 
 STATES = 8
-#: Words with emission probabilities of their own; they and their counts are broadcast.
-HEAD = 65_536
+#: Words with emission probabilities of their own, at most; they and their counts are broadcast, and a class takes two bytes.
+HEAD = 65_535
+#: Steps of a doubling of counts, by which the most frequent words are told from the rest.
+STEPS = 64
 #: Baum-Welch rounds over one of WARM_FOLDS parts of the training texts each, then over all of them.
 WARM, WARM_FOLDS, FULL = 5, 10, 2
 #: Tokens of a training sequence; longer texts are trained on in pieces of so many.
@@ -173,16 +175,35 @@ def log_likelihoods(model: Model, sequences):
     return out
 
 
-def _batched(batches, column: int, head: dict, size: int):
-    """(rows, their tokens, their classes) of about TOGETHER tokens each."""
+def most_frequent(words: DataFrame, most: int) -> dict[bytes, int]:
+    """Words of (word, n) and their counts: as many whole steps of frequency, from the top, as have no more than most words."""
+    step = F.floor(F.log2("n") * STEPS).cast("int")
+    sizes = dict(words.groupBy(step.alias("step")).count().collect())
+    lowest, taken = None, 0
+    for k in sorted(sizes, reverse=True):
+        if taken + sizes[k] > most:
+            break
+        lowest, taken = k, taken + sizes[k]
+    if lowest is None:
+        return {}
+    return {bytes(r.word): r.n for r in words.where(step >= lowest).collect()}
+
+
+def _class_type(classes: int):
+    import numpy as np
+
+    return np.uint16 if classes <= 1 << 16 else np.int32
+
+
+def _batched(batches, column: int, kind):
+    """(batch and row number, classes) of stored sequences, about TOGETHER tokens at a time."""
     import numpy as np
 
     rows, held = [], 0
     for batch in batches:
-        for number, text in enumerate(batch.column(column)):
-            words = tokens(text.as_py())
-            rows.append((batch, number, words, np.fromiter(map(head.get, words, repeat(size)), np.int32, len(words))))
-            held += len(words)
+        for number, stored in enumerate(batch.column(column)):
+            rows.append((batch, number, np.frombuffer(stored.as_buffer(), kind)))
+            held += len(rows[-1][2])
             if held > TOGETHER:
                 yield rows
                 rows, held = [], 0
@@ -190,43 +211,91 @@ def _batched(batches, column: int, head: dict, size: int):
         yield rows
 
 
-def baum_welch(docs: DataFrame, head: list[bytes], frequencies, states: int = STATES, warm: int = WARM, full: int = FULL) -> Model:
-    """Trains on all texts of docs. Each round's expected counts are summed within tasks, then across them by class."""
+def baum_welch(sequences: DataFrame, frequencies, states: int = STATES, warm: int = WARM, full: int = FULL) -> Model:
+    """Trains on all of sequences (classes), as classified() stores them. Each round's expected counts are summed within tasks, then across them by class."""
     import numpy as np
 
-    spark = docs.sparkSession
-    model = first_model(frequencies, states)
+    spark = sequences.sparkSession
+    common.small_batches(spark)
+    model, size = first_model(frequencies, states), len(frequencies)
     names = [f"s{k}" for k in range(states)]
-    sent_head = spark.sparkContext.broadcast(head)
-    fold = F.pmod(F.xxhash64("text"), F.lit(WARM_FOLDS))
+    kind = _class_type(size)
+    fold = F.pmod(F.xxhash64("classes"), F.lit(WARM_FOLDS))
     for number in range(warm + full):
         sent = spark.sparkContext.broadcast(model)
 
         def run(batches, sent=sent):
-            model, classes = sent.value, {w: i for i, w in enumerate(sent_head.value)}
-            size = len(classes)
-            into = [np.zeros(states), np.zeros((states, states)), np.zeros((size + 1, states)), 0.0]
-            for rows in _batched(batches, 0, classes, size):
-                expected_counts(model, [s[at : at + PIECE] for _, _, _, s in rows for at in range(0, len(s), PIECE)], into)
-            # rows from size + 1 on are the moves and the start
+            model = sent.value
+            into = [np.zeros(states), np.zeros((states, states)), np.zeros((size, states)), 0.0]
+            for rows in _batched(batches, 0, kind):
+                expected_counts(model, [s[at : at + PIECE] for _, _, s in rows for at in range(0, len(s), PIECE)], into)
+            # rows from size on are the moves and the start
             table = np.vstack([into[2], into[1], into[0]]).astype(np.float32)
             kept = np.flatnonzero(table.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), *(pa.array(table[kept, k]) for k in range(states))], names=["class", *names])
 
-        part = docs.select("text").where(fold == number) if number < warm else docs.select("text")
+        part = sequences.select("classes").where(fold == number) if number < warm else sequences.select("classes")
         schema = "class long, " + ", ".join(f"{n} float" for n in names)
         got = part.mapInArrow(run, schema).groupBy("class").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
-        sums = np.zeros((len(head) + 2 + states, states))
+        sums = np.zeros((size + 1 + states, states))
         sums[got.column("class").to_numpy()] = np.column_stack([got.column(n).to_numpy() for n in names])
         if sums.any():
-            emits = sums[: len(head) + 1] + PRIOR * frequencies[:, None]
-            moves = sums[len(head) + 1 : len(head) + 1 + states] + 0.1
+            emits = sums[:size] + PRIOR * frequencies[:, None]
+            moves = sums[size : size + states] + 0.1
             begin = sums[-1] + 0.1
             model = Model(begin / begin.sum(), moves / moves.sum(1, keepdims=True), emits / emits.sum(0))
         sent.unpersist()
     return model
 
 
+def classified(frame: DataFrame, head: list[bytes], counts) -> DataFrame:
+    """Stores the rows of (doc_id, text, learned) as sequences of classes, with what is left of each text for the join of rare words:
+    (doc_id, mark, learned, classes, n_tokens, n_known, base, rare, times). counts are those of head; base is of it alone, not yet normed."""
+    import numpy as np
+
+    sent = frame.sparkSession.sparkContext.broadcast((head, counts))
+
+    def run(batches):
+        head, counts = sent.value
+        classes, size = {w: i for i, w in enumerate(head)}, len(head)
+        kind = _class_type(size + 1)
+        logs, known = np.append(np.log10(counts + 1), 0.0), np.append(counts > 0, False)
+        kinds = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("learned", pa.bool_()), ("classes", pa.binary()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int32()))])
+        for batch in batches:
+            rows, held = [], 0
+            ids, marks, learned = (batch.column(k).to_pylist() for k in range(3))
+            for number, text in enumerate(batch.column(3)):
+                words = tokens(text.as_py())
+                s = np.fromiter(map(classes.get, words, repeat(size)), kind, len(words))
+                rest = Counter([words[i] for i in np.flatnonzero(s == size)])
+                rows.append((ids[number], marks[number], learned[number], s.tobytes(), len(s), int(known[s].sum()), float(logs[s].sum()), list(rest), list(rest.values())))
+                held += len(s)
+                if held > TOGETHER:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds.types)], schema=kinds)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds.types)], schema=kinds)
+
+    made = frame.select("doc_id", F.xxhash64("text").alias("mark"), "learned", "text").mapInArrow(
+        run, "doc_id long, mark long, learned boolean, classes binary, n_tokens long, n_known long, base double, rare array<binary>, times array<int>"
+    )
+    return common.cut(made, "sequences")
+
+
+def _likelihoods(sequences: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, mark, n_tokens, n_known, base, model) of stored sequences."""
+    sent, kind = sequences.sparkSession.sparkContext.broadcast(model), _class_type(len(model.emits))
+
+    def run(batches):
+        names = ["doc_id", "mark", "n_tokens", "n_known", "base"]
+        for rows in _batched(batches, 5, kind):
+            found = pa.array(log_likelihoods(sent.value, [s for _, _, s in rows]), pa.float64())
+            kept = [pa.array([batch.column(k)[number].as_py() for batch, number, _ in rows], pa.float64() if k == 4 else pa.int64()) for k in range(5)]
+            yield pa.RecordBatch.from_arrays([*kept, found], names=[*names, "model"])
+
+    return sequences.select("doc_id", "mark", "n_tokens", "n_known", "base", "classes").mapInArrow(run, "doc_id long, mark long, n_tokens long, n_known long, base double, model double")
+
+
 def score(docs: DataFrame, learn, states: int = STATES, head_words: int = HEAD) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each pair of doc_id and text.
 
@@ -237,50 +306,29 @@ def score(docs: DataFrame, learn, states: int = STATES, head_words: int = HEAD)
     """
     import numpy as np
 
-    spark = docs.sparkSession
-    common.small_batches(spark)
+    common.small_batches(docs.sparkSession)
     frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    training = frame.where(learn)
-    words = common.cut(vocabulary(training), "vocabulary")
+    frame = frame.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learned"))
+    words = common.cut(vocabulary(frame.where("learned")), "vocabulary")
     n_distinct, n_all = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    top = {bytes(r.word): r.n for r in words.orderBy(F.desc("n"), "word").limit(head_words).collect()}
+    top = most_frequent(words, head_words - 1)
     end = words.where(F.col("word") == F.lit(END)).agg(F.sum("n")).first()[0]
     top[END] = end or 0
     head = sorted(top)
     rare_tokens, rare_words = n_all - sum(top.values()), max(0, n_distinct - sum(n > 0 for n in top.values()))
-    counts = np.array([top[w] for w in head] + [rare_tokens], float)
-    model = baum_welch(training, head, (counts + 1) / (counts + 1).sum(), states)
-    whole, rare = np.log10(n_all + n_distinct + 1), np.log10(rare_tokens + rare_words + 1)
-    base = np.append(np.log10(counts[:-1] + 1) - whole, 0.0)
-    sent = spark.sparkContext.broadcast((model, head, base, np.append(counts[:-1] > 0, False)))
-
-    def run(batches):
-        model, head, base, known = sent.value
-        classes = {w: i for i, w in enumerate(head)}
-        size = len(classes)
-        kinds = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int32()))])
-        for rows in _batched(batches, 2, classes, size):
-            found = log_likelihoods(model, [s for _, _, _, s in rows])
-            out = []
-            for (batch, number, said, s), likelihood in zip(rows, found):
-                rest = Counter([said[i] for i in np.flatnonzero(s == size)])
-                out.append((batch.column(0)[number].as_py(), batch.column(1)[number].as_py(), len(s), int(known[s].sum()), float(base[s].sum()), float(likelihood), list(rest), list(rest.values())))
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds.types)], schema=kinds)
-
-    scored = common.cut(
-        frame.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(
-            run, "doc_id long, mark long, n_tokens long, n_known long, base double, model double, rare array<binary>, times array<int>"
-        ),
-        "scored",
-    )
+    counts = np.array([top[w] for w in head], float)
+    every = np.append(counts, rare_tokens) + 1
+    sequences = classified(frame, head, counts)
+    model = baum_welch(sequences.where("learned"), every / every.sum(), states)
+    whole, rare = float(np.log10(n_all + n_distinct + 1)), float(np.log10(rare_tokens + rare_words + 1))
     none = F.lit(None)
     rares = (
-        scored.select("doc_id", "mark", F.explode(F.arrays_zip("rare", "times")).alias("r"))
+        sequences.select("doc_id", "mark", F.explode(F.arrays_zip("rare", "times")).alias("r"))
         .select("doc_id", "mark", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
         .join(words, "word", "left")
         .select("doc_id", "mark", (F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("logs"), F.col("times").cast("long").alias("rares"), F.when(F.col("n") > 0, F.col("times")).otherwise(0).cast("long").alias("rare_known"))
     )
-    texts = scored.select("doc_id", "mark", "n_tokens", "n_known", "base", "model", none.cast("double").alias("logs"), none.cast("long").alias("rares"), none.cast("long").alias("rare_known"))
+    texts = _likelihoods(sequences, model).select("*", none.cast("double").alias("logs"), none.cast("long").alias("rares"), none.cast("long").alias("rare_known"))
     both = texts.unionByName(rares, allowMissingColumns=True).groupBy("doc_id", "mark")
     # rows repeated with id and text brought their rare words as often
     per = lambda name: F.coalesce(F.sum(name), F.lit(0)) / F.count("n_tokens")
@@ -291,8 +339,8 @@ def score(docs: DataFrame, learn, states: int = STATES, head_words: int = HEAD)
             "n_tokens",
             (F.col("n_known") + F.col("rare_known").cast("long")).alias("n_known"),
             F.lit(int(n_all)).cast("long").alias("train_tokens"),
-            (F.col("base") + F.col("logs") - F.col("rares") * F.lit(float(whole))).alias("base_score"),
-            (F.col("model") + F.col("logs") - F.col("rares") * F.lit(float(rare))).alias("score"),
+            (F.col("base") + F.col("logs") - F.col("n_tokens") * F.lit(whole)).alias("base_score"),
+            (F.col("model") + F.col("logs") - F.col("rares") * F.lit(rare)).alias("score"),
         )
     )
 
