@@ -196,7 +196,9 @@ def links(distinct: DataFrame) -> DataFrame:
         if len(held_key):
             yield close_pairs(held_key, held_fp)
 
-    keyed = distinct.select("fp").mapInArrow(emit, "key long, fp long")
+    # a fingerprint makes up to 108 rows, so the few bytes of fingerprints are dealt out first
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = distinct.select("fp").repartition(tasks).mapInArrow(emit, "key long, fp long")
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(match, "a long, b long").distinct()
 
 
