@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Rows of positives, and of unlabelled text, that the model is fitted on at most; the scored text has no bound.
+#: Rows of positives, and of unlabelled text, that the model is fitted on where there are more; the scored text has no bound.
 SAMPLE = 20_000
 STEPS = 600
 RATE = 0.05
@@ -144,8 +144,15 @@ def scores_of(model: dict | None, x):
 
 
 def sampled(ids: DataFrame, rows: int) -> DataFrame:
-    """The rows ids that come first by hash: the same ones in every run, spread over the table."""
-    return ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    """About `rows` of the ids, or all if there are fewer: those whose hash is under a cut, the same ones in every run.
+
+    The cut comes from a count, so no task gathers candidates; the number differs from rows by chance alone, a few standard deviations of its root.
+    """
+    ids = ids.select("doc_id").distinct()
+    total = ids.count()
+    if total <= rows:
+        return ids
+    return ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(rows / total * (1 << 40)))
 
 
 def _features_of(docs: DataFrame) -> DataFrame:
@@ -160,7 +167,7 @@ def _features_of(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, learn) -> dict | None:
     """Fits on rows of docs where the condition learn holds: positives are those labelled 1, unlabelled those without a label.
 
-    At most SAMPLE rows of each kind, the first by hash of doc_id. None if either kind has fewer than 10 rows.
+    About SAMPLE rows of each kind where there are more, by hash of doc_id. None if either kind has fewer than 10 rows.
     """
     import numpy as np
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import common, quality
 
-#: Rows of toxic and of clean labelled documents that the lexicon and the weights are fitted on, at most.
+#: Rows of toxic and of clean labelled documents that the lexicon and the weights are fitted on, where there are more.
 SAMPLE = 8_000
 #: Letters of the shortest and the longest stem in the lexicon.
 SHORTEST, LONGEST = 4, 10
@@ -227,7 +227,7 @@ def learn_lexicon(toxic: DataFrame, clean: DataFrame) -> dict[str, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, learn) -> dict:
-    """Lexicon and weights from rows of docs where the condition learn holds, at most SAMPLE of either label, first by hash of doc_id."""
+    """Lexicon and weights from rows of docs where the condition learn holds, about SAMPLE of either label where there are more, by hash of doc_id."""
     import numpy as np
 
     spark = docs.sparkSession
