@@ -229,6 +229,25 @@ def test_rejected(spark, budget):
             make()
 
 
+def test_row_functions_see_and_make_every_type(spark, budget):
+    import datetime
+
+    row = (1, 2.5, "x", datetime.date(2020, 2, 3), datetime.datetime(2021, 4, 5, 6, 7, 8, 9), None)
+    df = spark.createDataFrame([row, (None,) * 6], "i long, f double, s string, d date, t timestamp, n long")
+    kinds = {"i2": "INTEGER", "f2": "DECIMAL", "s2": "VARCHAR", "d2": "DATE", "t2": "TIMESTAMP"}
+
+    def same(r):
+        assert list(r) == ["i", "f", "s", "d", "t", "n"] and (r["t"] is None or r["t"] == datetime.datetime(2021, 4, 5, 6, 7, 8, 9))
+        return {"i2": r["i"], "f2": r["i"], "s2": r["s"], "d2": r["d"], "t2": r["t"]}
+
+    session = Session.from_dataframe(budget, "t", df, AddOneRow())
+    session.create_view(QueryBuilder("t").map(same, kinds, augment=True), "v", cache=False)
+    got = session._views["v"].df
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(*row, 1, 1.0, "x", row[3], row[4]), (None,) * 11], key=str)
+    session.create_view(QueryBuilder("t").flat_map(lambda r: (same(r) for _ in range(30_000)), kinds, max_rows=25_000), "w", cache=False)
+    assert session._views["w"].df.count() == 50_000 and session._views["w"].df.where("t2 is null").count() == 25_000
+
+
 def test_random_tables_as_pandas(spark):
     import numpy as np
     import pandas as pd

@@ -8,7 +8,9 @@ import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass, replace
 from fractions import Fraction
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,8 @@ from ..protect import Constraint, MaxGroupsPerID, MaxRowsPerGroupPerID, MaxRowsP
 from ..types import ColumnDescriptor, ColumnType, Grouped, Ids, Rows, TableMeta, coerce, infer, quoted
 from . import ir
 
+#: Rows that row functions made, after which a batch of them goes back to Spark.
+OUT_ROWS = 20_000
 #: What null and NaN become unless a value is given.
 NULL_DEFAULTS = {
     ColumnType.INTEGER: 0,
@@ -131,22 +135,72 @@ def _struct(columns) -> T.StructType:
 
 def _taker(columns):
     """Checks a row that a function returns, and puts it in order."""
-    wanted = [(n, d.column_type, d.allow_null) for n, d in columns]
+    names = [n for n, _ in columns]
+    real = [k for k, (_, d) in enumerate(columns) if d.column_type is ColumnType.DECIMAL]
+    strict = [k for k, (_, d) in enumerate(columns) if not d.allow_null]
+    size = len(names)
 
     def take(row):
-        if set(row) != {n for n, _, _ in wanted}:
+        if len(row) != size:
             raise ValueError("a row function returned other columns than it states")
-        out = []
-        for name, kind, nullable in wanted:
-            value = row[name]
-            if value is None and not nullable:
+        try:
+            out = [row[n] for n in names]
+        except KeyError:
+            raise ValueError("a row function returned other columns than it states") from None
+        for k in strict:
+            if out[k] is None:
                 raise ValueError("a row function returned null where none may be")
-            out.append(float(value) if kind is ColumnType.DECIMAL and value is not None else value)
-        return tuple(out)
+        for k in real:
+            if out[k] is not None:
+                out[k] = float(out[k])
+        return out
 
     return take
 
 
+def _naive(value):
+    """A timestamp from Arrow as row functions see it: without a zone, in the worker's own."""
+    return value.astimezone().replace(tzinfo=None) if value is not None and value.tzinfo is not None else value
+
+
+def _applied(df: DataFrame, columns, kept: bool, per_row) -> DataFrame:
+    """The rows that per_row gives for each row, after the row's own columns if kept. Rows go to Python in Arrow batches."""
+    schema = T.StructType([*(df.schema.fields if kept else ()), *_struct(columns).fields])
+    times = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampType)]
+    made_times = {k for k, (_, d) in enumerate(columns) if d.column_type is ColumnType.TIMESTAMP}
+    new_schema = _struct(columns)
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kinds = list(to_arrow_schema(new_schema).types)
+
+        def built(batch, origins, rows):
+            values = list(zip(*rows))
+            for k in made_times:
+                values[k] = [None if v is None else v.astimezone(datetime.timezone.utc) for v in values[k]]
+            new = [pa.array(v, k) for v, k in zip(values, kinds)]
+            own = batch.take(pa.array(origins, pa.int32())).columns if kept else []
+            return pa.RecordBatch.from_arrays([*own, *new], names=schema.names)
+
+        for batch in batches:
+            origins, rows = [], []
+            names, values = batch.schema.names, [c.to_pylist() for c in batch.columns]
+            for k in (names.index(n) for n in times):
+                values[k] = list(map(_naive, values[k]))
+            for number, row in enumerate(zip(*values)):
+                for made in per_row(dict(zip(names, row))):
+                    origins.append(number)
+                    rows.append(made)
+                if len(rows) >= OUT_ROWS:
+                    yield built(batch, origins, rows)
+                    origins, rows = [], []
+            if rows:
+                yield built(batch, origins, rows)
+
+    return df.mapInArrow(run, schema)
+
+
 def _new_columns(t: Table, node, augment: bool) -> dict[str, ColumnDescriptor]:
     new = dict(node.new_columns)
     if "" in new:
@@ -164,10 +218,8 @@ def _map(node: ir.Map, scope: Scope) -> Table:
     if not node.augment and (t.meta.id_column or t.meta.grouping_column):
         raise ValueError("a table with an ID or grouping column can only be mapped with augment=True")
     columns, f, take = _new_columns(t, node, node.augment), node.function.f, _taker(node.new_columns)
-    made = F.udf(lambda row: take(f(row.asDict())), _struct(node.new_columns), useArrow=False)
-    df = t.df.withColumn("__new", made(F.struct(*map(quoted, t.df.columns))))
-    kept = [quoted(n) for n in t.df.columns] if node.augment else []
-    return Table(df.select(*kept, "__new.*"), t.meta.but(columns=columns, constraints=t.meta.constraints if node.augment else ()))
+    df = _applied(t.df, node.new_columns, node.augment, lambda row: (take(f(row)),))
+    return Table(df, t.meta.but(columns=columns, constraints=t.meta.constraints if node.augment else ()))
 
 
 def _flat_map(node: ir.FlatMap, scope: Scope) -> Table:
@@ -186,9 +238,7 @@ def _flat_map(node: ir.FlatMap, scope: Scope) -> Table:
         raise ValueError("a grouping flat map makes one new column, of a table that has no grouping column yet")
     columns, f, take = _new_columns(t, node, node.augment), node.function.f, _taker(node.new_columns)
     most = None if ids else node.max_rows
-    made = F.udf(lambda row: [take(r) for r in list(f(row.asDict()))[:most]], T.ArrayType(_struct(node.new_columns)), useArrow=False)
-    kept = [quoted(n) for n in t.df.columns] if node.augment else []
-    df = t.df.select(*kept, F.explode(made(F.struct(*map(quoted, t.df.columns)))).alias("__new")).select(*kept, "__new.*")
+    df = _applied(t.df, node.new_columns, node.augment, lambda row: map(take, islice(f(row), most)))
     if ids:
         meta = t.meta.but(constraints=tuple(c for c in t.meta.constraints if isinstance(c, MaxGroupsPerID)))
     elif node.grouping:
