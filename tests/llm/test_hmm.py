@@ -93,3 +93,37 @@ def test_states_help(spark):
     rows = [(i, " ".join(f"{'ab'[i % 2]}{k}" for k in draw.integers(0, 50, 60))) for i in range(200)]
     got = hmm.evaluate(spark.createDataFrame(rows, "doc_id long, text string"), states=2).where("held_out").collect()
     assert sum(r.score for r in got) > sum(r.base_score for r in got) * 0.95
+
+
+def test_messages_cross_pieces(monkeypatch):
+    model, draw = random_model(5, 3, 7), np.random.default_rng(8)
+    some = [draw.integers(0, 5, n) for n in (1, 4, 11, 6, 9, 3)]
+
+    def counts():
+        into = [np.zeros(3), np.zeros((3, 3)), np.zeros((5, 3)), 0.0]
+        hmm.expected_counts(model, some, into)
+        return into
+
+    whole = counts()
+    assert np.isclose(whole[0].sum(), len(some)) and np.isclose(whole[1].sum(), sum(len(s) - 1 for s in some))
+    assert np.isclose(whole[3], hmm.log_likelihoods(model, some).sum())
+    monkeypatch.setattr(hmm, "PIECE", 3)
+    for together in (hmm.TRAINED_TOGETHER, 1):
+        monkeypatch.setattr(hmm, "TRAINED_TOGETHER", together)
+        assert all(np.allclose(a, b) for a, b in zip(counts(), whole))
+
+
+def test_every_round_sees_every_text_until_settled(spark):
+    draw = np.random.default_rng(5)
+    texts = [(k % 2 * 4 + draw.integers(0, 4, 40)).astype(np.uint16) for k in range(60)]
+    stored = spark.createDataFrame([(t.tobytes(),) for t in texts], "classes binary")
+    frequencies = np.bincount(np.concatenate(texts), minlength=9) + 1.0
+    frequencies /= frequencies.sum()
+    model = hmm.baum_welch(stored, frequencies, 2)
+    gains = np.diff(model.reached)
+    assert (gains > -1e-3).all() and gains[-1] <= hmm.SETTLED * abs(model.reached[-1])
+    assert (gains[:-1] > hmm.SETTLED * np.abs(model.reached[1:-1])).all()
+    # texts draw from one half of the words each: the states tell them apart, whatever their order and number
+    assert abs(model.emits[:4].sum(0) - model.emits[4:8].sum(0)).min() > 0.9
+    tripled = hmm.baum_welch(stored.union(stored).union(stored), frequencies, 2)
+    assert abs(tripled.emits[:4].sum(0) - tripled.emits[4:8].sum(0)).min() > 0.9

@@ -22,18 +22,18 @@ STATES = 8
 HEAD = 65_535
 #: Steps of a doubling of counts, by which the most frequent words are told from the rest.
 STEPS = 64
-#: Baum-Welch rounds over one of WARM_FOLDS parts of the training texts each, then over all of them.
-WARM, WARM_FOLDS, FULL = 5, 10, 2
-#: Tokens of a training sequence; longer texts are trained on in pieces of so many.
+#: Baum-Welch ends with the round that adds less than this part to the log likelihood (with the priors' part).
+SETTLED = 1e-4
+#: Tokens that a training pass steps through at a time; longer texts hand their messages on from piece to piece.
 PIECE = 512
 #: Tokens that the scoring recursion steps through at a time; longer texts are joined exactly from such spans.
 SPAN = 1024
-#: Tokens recursed over together.
-TOGETHER = 200_000
+#: Tokens recursed over together, in scoring and in training.
+TOGETHER, TRAINED_TOGETHER = 200_000, 1_500_000
 #: Entries of a task's word counts before they are passed on.
 COUNTS = 400_000
-#: Weight of the corpus frequencies in each state's emissions, in tokens.
-PRIOR = 20.0
+#: Weight of the corpus frequencies in each state's emissions, in tokens; and of every move and start.
+PRIOR, MOVE_PRIOR = 20.0, 0.1
 SEED = 17
 END = b""
 
@@ -100,38 +100,74 @@ def _columns(sequences):
     return order, table, alive
 
 
+def _packed(pieces):
+    """Pieces, longest first, as (classes, how many go on at each time, where each time begins): time by time, without gaps."""
+    import numpy as np
+
+    sizes = np.array([len(p) for p in pieces])
+    alive = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
+    begins = np.cumsum(alive) - alive
+    time = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    classes = np.empty(len(time), np.int32)
+    classes[begins[time] + np.repeat(np.arange(len(sizes)), sizes)] = np.concatenate(pieces)
+    return classes, alive, begins
+
+
 def expected_counts(model: Model, sequences, into) -> None:
-    """Adds the sequences' expected starts, moves and emissions to into (start, moves, emits, log likelihood)."""
+    """Adds the sequences' expected starts, moves and emissions to into (start, moves, emits, log likelihood).
+
+    Messages go on from piece to piece in both directions, so the counts are those of whole sequences; beyond
+    TRAINED_TOGETHER tokens only the messages at the pieces' ends are kept, and each piece's forward pass is made again.
+    """
     import numpy as np
 
-    _, table, alive = _columns(sequences)
-    steps, width = table.shape
-    states = len(model.start)
-    ahead = np.empty((steps, width, states))
-    scale = np.empty((steps, width))
-    for t in range(steps):
-        n = alive[t]
-        a = (model.start if t == 0 else ahead[t - 1, :n] @ model.moves) * model.emits[table[t, :n]]
-        c = a.sum(1)
-        ahead[t, :n] = a / c[:, None]
-        scale[t, :n] = c
-        into[3] += np.log10(c).sum()
-    back = np.ones((width, states))
-    classes, weights = [], []
-    for t in range(steps - 1, -1, -1):
-        n = alive[t]
-        gamma = ahead[t, :n] * back[:n]
-        classes.append(table[t, :n])
-        weights.append(gamma)
-        if t:
-            seen = model.emits[table[t, :n]] * back[:n] / scale[t, :n, None]
-            into[1] += model.moves * (ahead[t - 1, :n].T @ seen)
-            back[:n] = seen @ model.moves.T
-        else:
-            into[0] += gamma.sum(0)
-    classes, weights = np.concatenate(classes), np.concatenate(weights)
-    for k in range(states):
-        into[2][:, k] += np.bincount(classes, weights=weights[:, k], minlength=len(into[2]))
+    sequences = sorted(sequences, key=len, reverse=True)
+    sizes, states = np.array([len(s) for s in sequences]), len(model.start)
+    begin_at = range(0, sizes[0], PIECE)
+
+    def forward(at, before):
+        n = np.searchsorted(-sizes, -at, side="left")
+        classes, alive, begins = _packed([s[at : at + PIECE] for s in sequences[:n]])
+        ahead, scale = np.empty((len(classes), states)), np.empty(len(classes))
+        for t, (b, n) in enumerate(zip(begins, alive)):
+            if t:
+                prior = ahead[last : last + n] @ model.moves
+            else:
+                prior = model.start if before is None else before @ model.moves
+            a = prior * model.emits[classes[b : b + n]]
+            c = a.sum(1)
+            np.divide(a, c[:, None], out=ahead[b : b + n])
+            scale[b : b + n] = c
+            last = b
+        return classes, alive, begins, ahead, scale
+
+    hold = sizes.sum() <= 2 * TRAINED_TOGETHER
+    messages, passes = [None], []
+    for at in begin_at:
+        passes.append(forward(at, messages[-1]))
+        _, alive, begins, ahead, _ = passes[-1]
+        going = np.searchsorted(-sizes, -(at + PIECE), side="left")
+        messages.append(ahead[begins[-1] : begins[-1] + going].copy())
+        if not hold and at != begin_at[-1]:
+            passes[-1] = None
+    back = np.ones((len(sequences), states))
+    for number in reversed(range(len(passes))):
+        classes, alive, begins, ahead, scale = passes.pop() or forward(begin_at[number], messages[number])
+        into[3] += np.log10(scale).sum()
+        for t in range(len(alive) - 1, -1, -1):
+            b, n = begins[t], alive[t]
+            here = slice(b, b + n)
+            before = ahead[begins[t - 1] : begins[t - 1] + n] if t else messages[number]
+            beta = back[:n].copy()
+            if t or number:
+                seen = model.emits[classes[here]] * beta / scale[here, None]
+                into[1] += model.moves * (before.T @ seen)
+                back[:n] = seen @ model.moves.T
+            ahead[here] *= beta
+            if not t and not number:
+                into[0] += ahead[here].sum(0)
+        for k in range(states):
+            into[2][:, k] += np.bincount(classes, weights=ahead[:, k], minlength=len(into[2]))
 
 
 def log_likelihoods(model: Model, sequences):
@@ -195,8 +231,8 @@ def _class_type(classes: int):
     return np.uint16 if classes <= 1 << 16 else np.int32
 
 
-def _batched(batches, column: int, kind):
-    """(batch and row number, classes) of stored sequences, about TOGETHER tokens at a time."""
+def _batched(batches, column: int, kind, together: int):
+    """(batch and row number, classes) of stored sequences, about so many tokens together."""
     import numpy as np
 
     rows, held = [], 0
@@ -204,15 +240,24 @@ def _batched(batches, column: int, kind):
         for number, stored in enumerate(batch.column(column)):
             rows.append((batch, number, np.frombuffer(stored.as_buffer(), kind)))
             held += len(rows[-1][2])
-            if held > TOGETHER:
+            if held > together:
                 yield rows
                 rows, held = [], 0
     if rows:
         yield rows
 
 
-def baum_welch(sequences: DataFrame, frequencies, states: int = STATES, warm: int = WARM, full: int = FULL) -> Model:
-    """Trains on all of sequences (classes), as classified() stores them. Each round's expected counts are summed within tasks, then across them by class."""
+def _prior(model: Model, frequencies) -> float:
+    """log10 of the priors' density at a model, but for a constant: what Baum-Welch raises is this with the log likelihood."""
+    import numpy as np
+
+    emits = (PRIOR * frequencies[:, None] * np.log10(model.emits)).sum()
+    return float(emits + MOVE_PRIOR * (np.log10(model.moves).sum() + np.log10(model.start).sum()))
+
+
+def baum_welch(sequences: DataFrame, frequencies, states: int = STATES, settled: float = SETTLED) -> Model:
+    """Trains on all of sequences (classes), as classified() stores them, in every round, until a round adds less than the part settled
+    to the log likelihood. Each round's expected counts are summed within tasks, then across them by class. The model has what each round began with as reached."""
     import numpy as np
 
     spark = sequences.sparkSession
@@ -220,31 +265,35 @@ def baum_welch(sequences: DataFrame, frequencies, states: int = STATES, warm: in
     model, size = first_model(frequencies, states), len(frequencies)
     names = [f"s{k}" for k in range(states)]
     kind = _class_type(size)
-    fold = F.pmod(F.xxhash64("classes"), F.lit(WARM_FOLDS))
-    for number in range(warm + full):
+    reached: list[float] = []
+    while len(reached) < 2 or reached[-1] - reached[-2] > settled * abs(reached[-1]):
         sent = spark.sparkContext.broadcast(model)
 
         def run(batches, sent=sent):
             model = sent.value
             into = [np.zeros(states), np.zeros((states, states)), np.zeros((size, states)), 0.0]
-            for rows in _batched(batches, 0, kind):
-                expected_counts(model, [s[at : at + PIECE] for _, _, s in rows for at in range(0, len(s), PIECE)], into)
-            # rows from size on are the moves and the start
-            table = np.vstack([into[2], into[1], into[0]]).astype(np.float32)
+            for rows in _batched(batches, 0, kind, TRAINED_TOGETHER):
+                expected_counts(model, [s for _, _, s in rows], into)
+            # rows from size on are the moves, the start and the log likelihood
+            table = np.vstack([into[2], into[1], into[0], np.eye(1, states) * into[3]]).astype(np.float32)
             kept = np.flatnonzero(table.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), *(pa.array(table[kept, k]) for k in range(states))], names=["class", *names])
 
-        part = sequences.select("classes").where(fold == number) if number < warm else sequences.select("classes")
         schema = "class long, " + ", ".join(f"{n} float" for n in names)
-        got = part.mapInArrow(run, schema).groupBy("class").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
-        sums = np.zeros((size + 1 + states, states))
+        got = sequences.select("classes").mapInArrow(run, schema).groupBy("class").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
+        sums = np.zeros((size + states + 2, states))
         sums[got.column("class").to_numpy()] = np.column_stack([got.column(n).to_numpy() for n in names])
-        if sums.any():
-            emits = sums[:size] + PRIOR * frequencies[:, None]
-            moves = sums[size : size + states] + 0.1
-            begin = sums[-1] + 0.1
-            model = Model(begin / begin.sum(), moves / moves.sum(1, keepdims=True), emits / emits.sum(0))
         sent.unpersist()
+        if not sums.any():
+            break
+        reached.append(sums[-1, 0] + _prior(model, frequencies))
+        emits = sums[:size] + PRIOR * frequencies[:, None]
+        moves = sums[size : size + states] + MOVE_PRIOR
+        begin = sums[-2] + MOVE_PRIOR
+        model = Model(begin / begin.sum(), moves / moves.sum(1, keepdims=True), emits / emits.sum(0))
+        # past rounds' shuffle files go with their frames
+        spark._jvm.System.gc()
+    model.reached = reached
     return model
 
 
@@ -288,7 +337,7 @@ def _likelihoods(sequences: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         names = ["doc_id", "mark", "n_tokens", "n_known", "base"]
-        for rows in _batched(batches, 5, kind):
+        for rows in _batched(batches, 5, kind, TOGETHER):
             found = pa.array(log_likelihoods(sent.value, [s for _, _, s in rows]), pa.float64())
             kept = [pa.array([batch.column(k)[number].as_py() for batch, number, _ in rows], pa.float64() if k == 4 else pa.int64()) for k in range(5)]
             yield pa.RecordBatch.from_arrays([*kept, found], names=[*names, "model"])
