@@ -55,3 +55,18 @@ def test_components_of_chains_stars_and_pairs(spark):
     want = {i: 0 for i in range(61)} | {i: 100 for i in range(100, 400)} | {500: 500, 501: 500}
     assert got == want
     assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_targets_that_are_not_pages_vote(spark):
+    pages = [
+        (1, "http://other.info/1", '<link rel=canonical href="http://example.com/de/x">'),
+        (2, "http://other.info/2", '<meta http-equiv="refresh" content="0; url=https://example.com/de/y#top">'),
+        (3, "http://other.info/3", '<link rel=canonical href="http://a.org/fr/z">'),
+        (4, "http://other.info/4", '<link rel=canonical href="http://other.info/3"><link rel=canonical href="http://example.com/de/z">'),
+        (5, "http://other.info/5", ""),
+        (6, "http://other.info/6", '<link rel=canonical href="http://free.info/q?x=://example.com/de/">'),
+    ]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    hops = spark.createDataFrame([("http://other.info/5", "http://B.example.com/de/w")], "from_url string, to_url string")
+    want = {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "block", 6: "allow"}
+    assert {r.page_id: r.verdict for r in urls.judge(frame, redirects=hops).collect()} == want

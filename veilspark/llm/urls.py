@@ -75,7 +75,8 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
     """(page_id, host, path, rule, verdict, component) for every row of pages (page_id, url, html).
 
     A url that a rule fits takes the rule's verdict. Any other is blocked if its component of aliases, joined by
-    redirects and canonical links, holds a url that a rule blocks and none that a rule allows; else allowed.
+    redirects and canonical links, holds a url that a rule blocks and none that a rule allows; else allowed. Urls that
+    are only the target of a link or redirect vote as those of pages do. ORACLE_SQL lets pages alone vote.
     Null urls and urls without :// have an empty host and path, no rule and no aliases: allow. Repeated rows
     are judged each; an empty table gives an empty one; other columns are ignored. rules is a short list from
     the caller (it becomes one expression); pages, edges and components stay distributed: components come by
@@ -85,9 +86,11 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
     judged = common.cut(with_rule(p.select("page_id", "url"), rules).select("*", F.when(F.col("url").contains("://"), node_of(F.col("url"))).alias("node")), "judged")
     components = common.connected_components(alias_edges(p, redirects))
     components = common.cut(components, "aliases")
-    voters = judged.where("won is not null and node is not null").select("node", F.col("won.verdict").alias("vote")).distinct()
+    voters = judged.where("won is not null and node is not null").select("node", F.col("won.verdict").alias("vote")).distinct().join(components, "node")
+    targets = with_rule(components.select("node", "component", F.concat(F.lit("://"), "node").alias("url")), rules).where("won is not null")
     votes = (
-        voters.join(components, "node")
+        voters.select("component", "vote")
+        .union(targets.select("component", F.col("won.verdict").alias("vote")))
         .groupBy("component")
         .agg(F.max((F.col("vote") == "block").cast("int")).alias("blocks"), F.max((F.col("vote") == "allow").cast("int")).alias("allows"))
         .where("blocks = 1 and allows = 0")
