@@ -110,3 +110,40 @@ def test_folds(spark):
 
     got = spark.range(50).select("id", common.crc_fold(F.col("id"), 5).alias("f")).collect()
     assert all(r.f == crc32(str(r.id).encode()) % 5 for r in got)
+
+
+def alignment(a, b):
+    """Edits from a to each prefix of b, a swap of neighbours counting as one; the fewest."""
+    d = [[i + j if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return min(d[-1][1:], default=9)
+
+
+def test_wide_automaton_as_brute_force():
+    stems = {"idiot": 4.0, "scum": 5.0, "worthless": 3.0, "chón": 6.0, "idle": 2.0, "disgusting": 3.5}
+    lexicon, draw = toxicity.WideLexicon(stems), random.Random(16)
+    words = ["", "s", "1diot", "mdiot", "ediot", "idoit", "diot", "xidiot", "skum", "scvm", "csum", "wrothles", "owrthelss", "disgustign", "idsgutsing", "idiots", "scumbag"]
+    words += ["".join(draw.choice("idotscumwrhleónxg") for _ in range(draw.randint(1, 9))) for _ in range(300)]
+    for stem in list(stems) * 60:
+        w = list(stem)
+        for _ in range(draw.randint(0, 3)):
+            at = draw.randrange(max(1, len(w) - 1))
+            w[at : at + 2] = draw.choice([w[at : at + 2][::-1], w[at : at + 1], ["q", *w[at : at + 2]], ["z", *w[at + 1 : at + 2]]])
+        words.append("".join(w) + draw.choice(("", "es")))
+    for word in words:
+        near = [(e, -stems[s], s) for s in stems if (e := alignment(s, word)) <= toxicity.allowed(s)]
+        assert lexicon.match(word) == ((min(near)[2], min(near)[0]) if near else None), word
+    for word in ("1diot", "mdiot", "ediot", "idoit", "xidiot", "skum", "scvm"):
+        assert any(toxicity.features(toxicity._words_of(stems), f"you {word} there")), word
+
+
+def test_rare_terms_are_learned(spark):
+    draw = random.Random(3)
+    toxic = [(prose(draw, 20) + (" slimebag" if i % 100 == 0 else "") + " vequ",) for i in range(2500)]
+    clean = [(prose(draw, 20),) for _ in range(2500)]
+    stems = toxicity.learn_lexicon(*(spark.createDataFrame(x, "text string") for x in (toxic, clean)))
+    assert any("slimebag".startswith(s) for s in stems)

@@ -15,17 +15,21 @@ from . import common, quality
 SAMPLE = 8_000
 #: Letters of the shortest and the longest stem in the lexicon.
 SHORTEST, LONGEST = 4, 10
-#: A stem is in the lexicon if it is in so large a share of toxic documents (and this many), with such log odds.
-SHARE, LEAST, ODDS = 0.012, 3, 3.0
+#: A stem is in the lexicon if it is in so many toxic documents of the sample, with such log odds.
+LEAST, ODDS = 3, 3.0
 #: A longer stem replaces a shorter one that it accounts for by this share.
 ACCOUNTS = 0.9
 #: Letters from which a stem is matched with one edit.
 FUZZY = 5
+#: Letters from which the wide lexicon matches a stem with two edits; any other it matches with one.
+LONG = 8
 #: Words on each side of a match that are looked at.
 CONTEXT = 6
 #: States and words remembered per worker.
 CACHE = 500_000
 STEPS = 500
+#: Numbers of a text that its score is made from.
+FEATURES = 10
 
 QUOTES = "\"“”„«»‹›‘’"
 #: Words, in the languages of the web's larger parts, that report what someone else said.
@@ -35,6 +39,11 @@ REPORTING = frozenset(
 )
 
 
+def allowed(stem: str) -> int:
+    """Edits with which the wide lexicon matches a stem."""
+    return 2 if len(stem) >= LONG else 1
+
+
 class Lexicon:
     """Stems in a trie, intersected with the Levenshtein automata of one edit of all of them.
 
@@ -115,6 +124,76 @@ class Lexicon:
         return None if best is None else (best[2], best[0])
 
 
+class WideLexicon(Lexicon):
+    """A lexicon whose edits may be anywhere, the first letter too: one for short stems, two from LONG letters on; a swap of neighbours is one.
+
+    A state is a set of (trie node, edits made, letter that a swap still waits for or "").
+    """
+
+    def reset(self) -> None:
+        self.reach = [0] * len(self.children)
+        for stem in self.weights:
+            node = 0
+            for c in ["", *stem]:
+                node = self.children[node][c] if c else node
+                self.reach[node] = max(self.reach[node], allowed(stem))
+        super().reset()
+
+    def _closed(self, state: set) -> frozenset:
+        todo = [x if len(x) == 3 else (*x, "") for x in state]
+        least: dict[tuple[int, str], int] = {}
+        while todo:
+            node, edits, waits = todo.pop()
+            if edits > self.reach[node] or least.get((node, waits), 9) <= edits:
+                continue
+            least[node, waits] = edits
+            if not waits and edits < self.reach[node]:
+                todo += [(child, edits + 1, "") for child in self.children[node].values()]
+        return frozenset((node, edits, waits) for (node, waits), edits in least.items())
+
+    def _state(self, state: frozenset) -> int:
+        if state not in self.ids:
+            self.ids[state] = len(self.states)
+            self.states.append(state)
+            self.moves.append({})
+            hits = [(e, -self.weights[self.stem_at[n]], self.stem_at[n]) for n, e, waits in state if not waits and n in self.stem_at and e <= allowed(self.stem_at[n])]
+            self.found.append(min(hits) if hits else None)
+        return self.ids[state]
+
+    def _move(self, state: int, c: str) -> int:
+        if len(self.states) > CACHE:
+            raise OverflowError
+        after = set()
+        for node, edits, waits in self.states[state]:
+            if waits:
+                if waits == c:
+                    after.add((node, edits, ""))
+                continue
+            children = self.children[node]
+            child = children.get(c)
+            if child is not None:
+                after.add((child, edits, ""))
+            if edits < self.reach[node]:
+                after.add((node, edits + 1, ""))  # a letter too many
+                for letter, other in children.items():
+                    after.add((other, edits + 1, ""))  # another letter
+                    swapped = self.children[other].get(c)
+                    if swapped is not None and letter != c:
+                        after.add((swapped, edits + 1, letter))
+        to = self.moves[state][c] = self._state(self._closed(after))
+        return to
+
+
+#: A worker's lexicon, kept from task to task with its states.
+_KEPT: dict[str, object] = {}
+
+
+def _words_of(stems: dict[str, float]):
+    if _KEPT.get("stems") != stems:
+        _KEPT.update(stems=stems, words=_Words(WideLexicon(stems)))
+    return _KEPT["words"]
+
+
 class _Words(dict):
     """Token of a text to its match."""
 
@@ -160,23 +239,24 @@ def matches(words: _Words, text: str) -> list[tuple[int, str, int, bool]]:
 
 def features(words: _Words, text: str) -> list[float]:
     """Context scores of a text: sums of stem weights, apart for exact, misspelled and quoted matches, their density, and
-    the largest sum within a window of words."""
+    the largest sum within a window of words; apart from all these, sums and density of less sure matches: short stems with an edit, and two edits."""
     found = matches(words, text)
     if not found:
-        return [0.0] * 6
+        return [0.0] * FEATURES
     weights = words.lexicon.weights
     n = len(text.split())
-    sums, inside, most = [0.0, 0.0, 0.0], [], 0.0
+    sums, inside, most = [0.0] * 5, [], 0.0
     stems = set()
     for at, stem, edits, reported in found:
         w = weights[stem] / 5
-        sums[2 if reported else min(edits, 1)] += w
-        if not reported:
+        unsure = edits == 2 or bool(edits) and len(stem) < FUZZY
+        sums[2 if reported and not unsure else 2 + edits // 2 + 1 if unsure else edits] += w / (1 + reported * unsure)
+        if not reported and not unsure:
             if not edits:
                 stems.add(stem)
             inside = [x for x in inside if x[0] >= at - 4 * CONTEXT] + [(at, w / (1 + edits))]
             most = max(most, sum(x[1] for x in inside))
-    return [math.log1p(sums[0]), math.log1p(sums[1]), math.log1p(sums[2]), math.log1p(100 * sums[0] / n), math.log1p(most), min(len(stems), 5) / 5]
+    return [math.log1p(sums[0]), math.log1p(sums[1]), math.log1p(sums[2]), math.log1p(100 * sums[0] / n), math.log1p(most), min(len(stems), 5) / 5, *(math.log1p(x) for x in sums[3:]), *(math.log1p(100 * x / n) for x in sums[3:])]
 
 
 def _stems(text: str) -> set[str]:
@@ -210,12 +290,11 @@ def _document_counts(docs: DataFrame, wanted=None) -> DataFrame:
 
 
 def learn_lexicon(toxic: DataFrame, clean: DataFrame) -> dict[str, float]:
-    """Stems and their log odds. Their number is bounded: each is in a fixed share of the toxic sample."""
+    """Stems and their log odds. Their number is bounded by the sample's words: each is in LEAST toxic documents of it."""
     n_toxic, n_clean = toxic.count(), clean.count()
     if not n_toxic or not n_clean:
         return {}
-    least = max(LEAST, SHARE * n_toxic)
-    common_ones = {r.stem: r.n for r in _document_counts(toxic).where(F.col("n") >= least).collect()}
+    common_ones = {r.stem: r.n for r in _document_counts(toxic).where(F.col("n") >= LEAST).collect()}
     keep = toxic.sparkSession.sparkContext.broadcast(set(common_ones))
     in_clean = {r.stem: r.n for r in _document_counts(clean, keep).collect()}
     odds = {s: math.log((n + 0.5) / (n_toxic + 1)) - math.log((in_clean.get(s, 0) + 0.5) / (n_clean + 1)) for s, n in common_ones.items()}
@@ -242,7 +321,7 @@ def train(docs: DataFrame, labels: DataFrame, learn) -> dict:
     sent = spark.sparkContext.broadcast(stems)
 
     def run(batches):
-        words = _Words(Lexicon(sent.value))
+        words = _words_of(sent.value)
         for batch in batches:
             found = [features(words, t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], names=["kind", "x"])
@@ -273,12 +352,12 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         import numpy as np
 
         model = sent.value
-        words = _Words(Lexicon(model["stems"]))
+        words = _words_of(model["stems"])
         for batch in batches:
             if model["weights"] is None:
                 scores = np.zeros(batch.num_rows)
             else:
-                x = np.array([features(words, t.as_py() or "") for t in batch.column(at)]).reshape(batch.num_rows, 6)
+                x = np.array([features(words, t.as_py() or "") for t in batch.column(at)]).reshape(batch.num_rows, FEATURES)
                 scores = quality._sigmoid(x @ model["weights"][:-1] + model["weights"][-1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*names, "score"])
 
