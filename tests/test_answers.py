@@ -266,3 +266,16 @@ def test_random_tables_as_pandas(spark):
     ):
         got = session.evaluate(query, inf).toPandas().set_index("k").x.sort_index()
         assert np.allclose(got, want)
+
+
+def test_quantiles_of_skewed_values_in_wide_bounds(spark):
+    values = [(g, float(i * i)) for g in ("a", None) for i in range(300)]
+    frame = spark.createDataFrame(values, "g string, x double")
+    keys = KeySet.from_tuples([("a",), (None,), ("none",)], ["g"])
+    for budget in (PureDPBudget.inf(), PureDPBudget(300)):
+        make = Session.Builder().with_privacy_budget(budget).with_private_dataframe("t", frame, AddOneRow())
+        session, part = make.build(), PureDPBudget.inf() if budget.is_infinite else PureDPBudget(100)
+        got = {r.g: r.m for r in session.evaluate(QueryBuilder("t").groupby(keys).quantile("x", 0.5, 0, 1e9, name="m"), part).collect()}
+        assert all(145**2 <= got[g] <= 155**2 for g in ("a", None)) and 0 <= got["none"] <= 1e9
+        ((q,),) = session.evaluate(QueryBuilder("t").quantile("x", 0.9, -1e9, 1e9), part).collect()
+        assert 265**2 <= q <= 275**2

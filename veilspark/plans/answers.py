@@ -15,6 +15,7 @@ from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,14 +23,17 @@ from ..budget import ApproxDPBudget, PrivacyBudget, RhoZCDPBudget
 from ..keyset import BROADCAST_KEYS, KeySet, KeySetPlan, join_keys, spark_session
 from ..operators.noise import Noise, NoiseMechanism, discrete_laplace, gumbel, uniform
 from ..protect import MaxGroupsPerID, MaxRowsPerGroupPerID, MaxRowsPerID
+from ..sources.shipping import ship
 from ..types import NUMERIC, ColumnType, Grouped, Ids, Rows, quoted
 from . import ir
 from .tables import Scope, Table, compile_table
 
 #: Keys up to which an answer is fixed on the driver.
 ON_DRIVER = 10_000
-#: Cells between the bounds of a quantile; a group's values are counted by cell before its rank is searched.
+#: Cells between the bounds of a quantile that choose_quantile counts in.
 CELLS = 4096
+#: Bits of a value's place between the bounds of a quantile, as many as doubles tell apart there; and of the blocks that values are ranked in.
+PLACE, BLOCK = 50, 12
 #: The part of a group's values that bounds have to hold.
 INSIDE = 0.95
 #: Exponents of two that bounds are searched among.
@@ -417,16 +421,55 @@ def _quantile(agg, t: Table, keys, grouping, budget):
 
     def run() -> DataFrame:
         clamped = F.least(F.greatest(x, F.lit(low)), F.lit(high))
-        cell = F.least(F.floor((clamped - low) / (high - low) * CELLS).cast("int"), F.lit(CELLS - 1))
+        place = F.least(F.floor((clamped - low) / (high - low) * 2.0**PLACE).cast("long"), F.lit(2**PLACE - 1))
         kept = join_keys(t.df, _key_frame(keys), grouping, "left_semi") if grouping else t.df
-        counted = kept.groupBy(*map(quoted, grouping), cell.alias("__cell")).agg(F.count(F.lit(1)).alias("__n"))
-        listed = per_key(counted, keys, grouping, {"__cells": F.collect_list(F.struct("__cell", "__n"))})
+        counted = kept.groupBy(*map(quoted, grouping), place.alias("__place")).agg(F.count(F.lit(1)).alias("__n"))
+        # blocks follow the values' order: even ones, and within them even ones of the logarithm, so that few skewed values share one
+        counted = counted.select("*", F.shiftright("__place", PLACE - BLOCK).alias("__even"), F.floor(F.log2(F.col("__place") + 1) * 64).alias("__log"))
+        block = [*grouping, "__even", "__log"]
+        group = W.partitionBy(*map(quoted, grouping))
+        before = group.orderBy("__even", "__log")
+        blocks = counted.groupBy(*map(quoted, block)).agg(F.sum("__n").alias("__sum"), F.min("__place").alias("__least"))
+        blocks = blocks.select(
+            *map(quoted, block),
+            (F.sum("__sum").over(before.rowsBetween(W.unboundedPreceding, 0)) - F.col("__sum")).alias("__before"),
+            F.lead("__least").over(before).alias("__after"),
+            F.sum("__sum").over(group).alias("__total"),
+            F.min("__least").over(group).alias("__first"),
+        )
+        inside = W.partitionBy(*map(quoted, block)).orderBy("__place")
+        ranked = join_keys(counted, blocks, block, "inner").select(
+            *map(quoted, grouping),
+            "__place",
+            "__n",
+            "__total",
+            "__first",
+            (F.col("__before") + F.sum("__n").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")).alias("__below"),
+            F.coalesce(F.lead("__place").over(inside), "__after", F.lit(2**PLACE)).alias("__next"),
+        )
+        # the span of each value, the one up to the next, and the one before the first
+        spans = """explode(array(named_struct('a', __place, 'b', __place + 1, 'under', __below + __n / 2.0D),
+            named_struct('a', __place + 1, 'b', __next, 'under', cast(__below + __n as double)),
+            named_struct('a', 0L, 'b', if(__place = __first, __place, 0L), 'under', 0.0D))) AS __span"""
+        under, length = F.col("__span.under"), F.col("__span.b") - F.col("__span.a")
+        utility = -F.abs((1 - q) * under - q * (F.col("__total") - under))
+        ship(spark_session())
+        found = ranked.selectExpr("*", spans).where("__span.b > __span.a").select(*map(quoted, grouping), "__span", utility.alias("__utility"), F.log(length.cast("double")).alias("__length"))
+        found = found.withColumn("__draw", F.udf(gumbel, "double").asNondeterministic()())
+        drawn = F.col("__length") + F.col("__draw")
+        if epsilon == math.inf:
+            rank = F.struct(F.round("__utility", 6), drawn)
+        else:
+            rank = drawn + F.col("__utility") * F.lit(epsilon / (2 * rows * max(q, 1 - q)))
+        best = per_key(found, keys, grouping, {"__best": F.max_by("__span", rank)})
 
         def finish(row):
-            cells = [tuple(c.values()) if isinstance(c, dict) else tuple(c) for c in row[width] or []]
-            return (*row[:width], choose_quantile(cells, q, low, high, epsilon, rows))
+            if row[width] is None:
+                return (*row[:width], choose_quantile([], q, low, high, epsilon, rows))
+            a, b = (row[width][k] for k in ("a", "b"))
+            return (*row[:width], min(high, max(low, low + (high - low) / 2**PLACE * (a + (b - a) * uniform()))))
 
-        return fix(listed, keys, _schema(t.meta, grouping, {name: T.DoubleType()}), finish)
+        return fix(best, keys, _schema(t.meta, grouping, {name: T.DoubleType()}), finish)
 
     return run, (noise,)
 
