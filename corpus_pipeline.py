@@ -35,19 +35,26 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return toxicity.score(docs, model).where(F.col("score") < TOXICITY_MOST).select(*COLUMNS)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with key, of doc_id and text: rows that share an id but not the text are told apart, ids that are null too."""
+    return docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("key"))
+
+
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component of near copies the document with the smallest doc_id (documents without an id all stay)."""
-    docs = docs.select(*COLUMNS)
-    copies = simhash.near_duplicates(docs).where(F.col("doc_id") > F.col("component_id")).select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps of each component of near copies the document with the smallest doc_id (documents without an id all stay, and
+    rows repeated with id and text). Other texts of a dropped document's id stay."""
+    docs = _keyed(docs)
+    prints = simhash.fingerprints(docs.select(F.col("key").alias("doc_id"), "text")).withColumnRenamed("doc_id", "key").distinct()
+    prints = common.cut(prints.join(docs.select("key", "doc_id").distinct(), "key"), "prints")
+    copies = simhash.components(prints.select("doc_id", "fp")).where(F.col("doc_id") > F.col("component_id")).select("doc_id", "fp").distinct()
+    return docs.join(prints.join(copies, ["doc_id", "fp"]).select("key"), "key", "left_anti").select(*COLUMNS)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which a window of a benchmark item occurs."""
-    docs = docs.select(*COLUMNS)
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaks = found.where("contaminated").select(F.col("doc_id").alias("leak"))
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("leak")), "left_anti").select(*COLUMNS)
+    """Drops documents in which a window of a benchmark item occurs, and no others that share their doc_id."""
+    docs = _keyed(docs)
+    found = decontaminate.contamination(docs.select(F.col("key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.where("contaminated").select(F.col("doc_id").alias("key")), "key", "left_anti").select(*COLUMNS)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -84,3 +84,15 @@ def test_stages_keep_the_columns_and_bear_empty_tables(spark, tmp_path):
         made = stage(spark, docs, str(tmp_path))
         assert made.columns == list(corpus_pipeline.COLUMNS) and made.count() == 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 0
+
+
+def test_texts_that_share_an_id_are_dropped_apart(spark, tmp_path):
+    draw = random.Random(21)
+    first, other, leak, clean, nobody = (prose(draw, 60) for _ in range(5))
+    write(tmp_path, "benchmark", [(1, leak)], pa.schema([("item_id", pa.int64()), ("text", pa.string())]))
+    rows = [(1, first), (2, first), (2, other), (3, leak), (3, clean), (None, leak), (None, nobody)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.near_copies_stage(spark, docs, str(tmp_path)).collect()}
+    assert got == set(rows) - {(2, first)}
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.benchmark_stage(spark, docs, str(tmp_path)).collect()}
+    assert got == {r for r in rows if r[1] != leak}
