@@ -14,7 +14,7 @@ def words(text):
 
 def brute(docs, items):
     out = []
-    for doc_id, text in {(d, t or "") for d, t in docs}:
+    for doc_id, text in docs:
         w, hit, named = words(text), set(), set()
         for item, bench in items:
             b = words(bench)
@@ -52,14 +52,44 @@ def test_as_brute_force(spark):
     assert sorted((tuple(r) for r in decontaminate.contamination(docs, items).collect()), key=str) == brute(DOCS, ITEMS)
     assert decontaminate.contamination(docs.limit(0), items).count() == 0
     none = decontaminate.contamination(docs, items.limit(0)).collect()
-    assert len(none) == len(set(DOCS)) and not any(r.contaminated for r in none)
+    assert len(none) == len(DOCS) and not any(r.contaminated for r in none)
 
 
 def test_proximity_ignores_order(spark):
-    docs = spark.createDataFrame([(1, "zeta filler alpha more beta"), (2, "alpha then nothing of it"), (3, "alpha beta zeta")], "doc_id long, text string")
-    items = spark.createDataFrame([(1, "alpha beta zeta")], "item_id long, text string")
-    anchors = decontaminate.anchored_windows(docs, items)
-    near = decontaminate.proximity(decontaminate.index(docs, anchors, slack=2), anchors)
-    assert {r.doc_id for r in near.collect()} == {1, 3}
-    assert {r.doc_id for r in decontaminate.phrases(decontaminate.index(docs, anchors), anchors).collect()} == {3}
-    assert "Python" not in decontaminate.contamination(docs, items).select(F.col("doc_id"))._jdf.queryExecution().toString()
+    docs = spark.createDataFrame([(1, "zeta filler alpha more beta"), (2, "alpha then nothing of it"), (3, "alpha beta zeta"), (4, "alpha " + "x " * 40 + "beta zeta")], "doc_id long, text string").coalesce(1)
+    tests = decontaminate.test_set(spark.createDataFrame([(1, "alpha beta zeta")], "item_id long, text string"))
+    postings = decontaminate.index(docs, tests)
+    ranked = decontaminate.anchors(postings, tests)
+    ids = {r.row: r.doc_id for r in postings.where("doc_id is not null").collect()}
+    assert {ids[r.row] for r in decontaminate.proximity(postings, ranked, slack=2).collect()} == {1, 3}
+    assert {ids[r.row] for r in decontaminate.proximity(postings, ranked, slack=60).collect()} == {1, 3, 4}
+    assert {ids[r.row] for r in decontaminate.phrases(postings, ranked).collect()} == {3}
+
+
+def test_postings_are_those_of_all_test_terms(spark):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    tests = decontaminate.test_set(spark.createDataFrame(ITEMS, "item_id long, text string"))
+    terms = {r.no: r.term for r in tests.terms.collect()}
+    assert set(terms.values()) == {w for _, t in ITEMS for w in words(t)}
+    postings = decontaminate.index(docs, tests).collect()
+    ids = {r.row: r.doc_id for r in postings if r.no == decontaminate.END}
+    got = sorted(((ids[r.row], terms[r.no], r.position) for r in postings if r.no != decontaminate.END), key=str)
+    assert got == sorted(((d, w, k) for d, t in DOCS for k, w in enumerate(words(t), 1) if w in terms.values()), key=str)
+
+
+def test_lower_case_of_every_character(spark):
+    docs = spark.range(0x110000).where("id <> 0 and (id < 55296 or id > 57343)").selectExpr("id AS doc_id", "decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32') AS c")
+    docs = docs.selectExpr("doc_id", "concat('Q', c, 'Z') AS text")
+    wrong = docs.select("text", decontaminate.words(F.col("text")).alias("w")).toArrow().to_pylist()
+    assert all(words(r["text"]) == r["w"] for r in wrong) and len(wrong) == 0x110000 - 2049
+
+
+def test_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate.common, "BROADCAST_BYTES", 0)
+    docs, items = spark.createDataFrame(DOCS, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert sorted((tuple(r) for r in decontaminate.contamination(docs, items).collect()), key=str) == brute(DOCS, ITEMS)
+
+
+def test_no_python_and_one_cut_into_words(spark):
+    docs, items = spark.createDataFrame(DOCS, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert "Python" not in decontaminate.contamination(docs, items)._jdf.queryExecution().toString()
