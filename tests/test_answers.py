@@ -268,6 +268,74 @@ def test_random_tables_as_pandas(spark):
         assert np.allclose(got, want)
 
 
+def test_exact_quantiles_are_values(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(5)
+    values = [*map(float, range(1, 100)), 1e6]
+    inf = PureDPBudget.inf()
+    session = Session.from_dataframe(inf, "t", spark.createDataFrame([(v,) for v in values], "x double"), AddOneRow())
+    assert {session.evaluate(QueryBuilder("t").median("x", 0, 1e6), inf).first()[0] for _ in range(3)} == {50.0}
+    groups = {"a": list(draw.normal(0, 1e-3, 400)) + [0.0] * 30, "b": list(draw.lognormal(0, 9, 301)) + [-5e5] * 7, "c": [2.0], None: [-1.5] * 9}
+    frame = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "g string, x double")
+    session = Session.from_dataframe(inf, "t", frame, AddOneRow())
+    keys = KeySet.from_tuples([("a",), ("b",), ("c",), (None,), ("none",)], ["g"])
+    for q in (0, 0.01, 0.25, 0.5, 0.75, 0.999, 1):
+        got = {r.g: r.m for r in session.evaluate(QueryBuilder("t").groupby(keys).quantile("x", q, -1e5, 1e5, name="m"), inf).collect()}
+        want = {g: next(v for k, v in enumerate(sorted(min(max(v, -1e5), 1e5) for v in vs), 1) if k >= q * len(vs)) for g, vs in groups.items()}
+        assert got == {**want, "none": 0.0}
+
+
+def test_many_bins(spark):
+    import datetime
+
+    values = [None, -1.0, 0.0, 0.5, 1.0, 17.25, 2999.5, 3000.0, 3001.0, math.nan, math.inf, -math.inf]
+    frame = spark.createDataFrame([(v,) for v in values], "x double")
+    for right in (True, False):
+        for both in (True, False):
+            spec = BinningSpec([float(k) for k in range(3001)], right=right, include_both_endpoints=both, nan_bin="nan")
+            got = [r.b for r in frame.select(spec.column(frame.x).alias("b")).collect()]
+            few = BinningSpec([0.0, 1.0, 17.0, 18.0, 3000.0], right=right, include_both_endpoints=both, nan_bin="nan")
+            assert got == [spec(v) for v in values] and [r.b for r in frame.select(few.column(frame.x).alias("b")).collect()] == [few(v) for v in values]
+    session = Session.from_dataframe(PureDPBudget.inf(), "t", frame, AddOneRow())
+    assert answer(session, QueryBuilder("t").histogram("x", BinningSpec([float(k) for k in range(3001)])).suppress(1)) == [("(17.00, 18.00]", 1), ("(2999.00, 3000.00]", 2), ("[0.00, 1.00]", 3)]
+    days = [datetime.date(2020, 1, 1) + datetime.timedelta(k) for k in range(100)]
+    frame = spark.createDataFrame([(d,) for d in days], "d date")
+    spec = BinningSpec(days[10:60], right=False)
+    assert [r.b for r in frame.select(spec.column(frame.d).alias("b")).collect()] == [spec(d) for d in days]
+
+
+def test_conditions_that_raise_are_refused(spark, budget):
+    session = Session.from_dataframe(budget, "t", spark.createDataFrame(ROWS, "A string, B long, X long"), AddOneRow())
+    spark.udf.register("leaky", lambda x: True, "boolean")
+    for condition in (
+        "CASE WHEN A = '1' THEN raise_error('leak') ELSE true END", "assert_true(X < 2) IS NULL", "leaky(X)", "reflect('java.lang.Math', 'abs', X) = 1",
+        "java_method('java.lang.System', 'exit', 0) = 1", "element_at(array(1), int(X)) = 1", "size(sequence(1, X, 0)) > 0", "map(A, 1, A, 2)['0'] = 1", "url_decode(A) = '0'",
+    ):
+        with pytest.raises(ValueError, match="condition"):
+            session.evaluate(QueryBuilder("t").filter(condition).count(), session.remaining_privacy_budget)
+    assert answer(session, QueryBuilder("t").filter("upper(A) = '0' AND X % 2 = 0 AND coalesce(B, 1) < 5 AND A LIKE '0%' AND A IN ('0', '1')").count()) == [(2,)]
+
+
+def test_flat_map_by_id_sees_rows_in_order_and_makes_every_type(spark, budget):
+    import datetime
+
+    at, day = datetime.datetime(2021, 4, 5, 6, 7, 8, 9), datetime.date(2020, 2, 3)
+    data = [(1, "b", 2.5, at, day), (1, "a", None, None, None), (None, "n", math.nan, at, day), (1, "a", 1.0, at, day), (2, None, 0.0, at, day)]
+    frame = spark.createDataFrame(data, "id long, s string, f double, t timestamp, d date")
+    kinds = {"s2": "VARCHAR", "n": "INTEGER", "f2": "DECIMAL", "t2": "TIMESTAMP", "d2": "DATE"}
+
+    def f(rows):
+        assert all(r["t"] in (at, None) for r in rows)
+        last = rows[-1]
+        return [] if last["id"] == 2 else [{"s2": "".join(r["s"] for r in rows), "n": len(rows), "f2": last["f"], "t2": last["t"], "d2": last["d"]}]
+
+    session = Session.from_dataframe(budget, "t", frame.repartition(3), AddRowsWithID("id"))
+    session.create_view(QueryBuilder("t").flat_map_by_id(f, kinds), "v", cache=False)
+    got = sorted(map(tuple, session._views["v"].df.collect()), key=str)
+    assert got[0] == (1, "aab", 3, 2.5, at, day) and got[1][:3] == (None, "n", 1) and len(got) == 2
+
+
 def test_quantiles_of_skewed_values_in_wide_bounds(spark):
     values = [(g, float(i * i)) for g in ("a", None) for i in range(300)]
     frame = spark.createDataFrame(values, "g string, x double")

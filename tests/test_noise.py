@@ -126,6 +126,30 @@ def test_samplers():
     assert noise.discrete_laplace(Fraction(0)) == noise.discrete_gaussian(Fraction(0)) == 0
 
 
+def test_sums_of_reals_are_whole_steps(spark):
+    values = [0.1, 0.2, 0.3, 1e-9, 4.999, -3.0] * 50
+    session = Session.from_dataframe(PureDPBudget(10**9), "t", spark.createDataFrame([(v,) for v in values], "F double"), AddOneRow())
+    for query, want in ((QueryBuilder("t").sum("F", -1, 5), sum(max(v, -1) for v in values)), (QueryBuilder("t").average("F", -1, 5), sum(max(v, -1) for v in values) / 300)):
+        (got,) = session.evaluate(query, PureDPBudget(10**7)).first()
+        assert got == pytest.approx(want, abs=1e-4)
+    for per_row in (Fraction(5), Fraction(1, 3), Fraction(10) ** 12):
+        n = noise.Noise(noise.NoiseMechanism.LAPLACE, per_row * 7, per_row)
+        assert n.grid <= n.parameter / 2**19 and Fraction(math.floor(per_row / n.grid) + 1) * n.grid >= per_row
+    # a budget never grows by rounding
+    for x in (Fraction(2), Fraction(1, 3), Fraction(10) ** 30, Fraction(1, 10**30), Fraction(0)):
+        r = noise.root_below(x)
+        assert r * r <= x and (x == 0 or (r * (1 + Fraction(1, 2**50))) ** 2 > x)
+
+
+def test_a_grouping_flat_map_makes_a_row_for_a_group_once(spark):
+    session = rows(spark, ZCDP)
+    made = QueryBuilder("t").flat_map(lambda r: [{"g": "a"}] * 5 + [{"g": "b"}, {"g": "a"}, {"g": "c"}], {"g": "VARCHAR"}, augment=True, grouping=True, max_rows=2)
+    query = made.groupby(KeySet.from_dict({"g": ["a", "b", "c"]})).count()
+    assert session._noise_info(query, ZCDP)[0]["noise_parameter"] == 1  # a row in each of two groups
+    exact = rows(spark, RhoZCDPBudget.inf()).evaluate(query, RhoZCDPBudget.inf()).collect()
+    assert sorted(map(tuple, exact)) == [("a", 2), ("b", 2), ("c", 0)]
+
+
 def test_an_answer_is_drawn_once(spark):
     session = rows(spark, PureDPBudget(10))
     for keys in (KeySet.from_dict({"A": ["a", "b"]}), KeySet.from_dataframe(spark.createDataFrame([("a",), ("b",)], "A string"))):

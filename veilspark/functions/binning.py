@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import datetime
 import math
+from bisect import bisect_left, bisect_right
 from itertools import pairwise
 
 from pyspark.sql import functions as F
 
 from ..types import ColumnDescriptor, ColumnType
 
+#: Bins up to which a value's bin is a chain of conditions; more are searched by halves.
+CHAINED = 32
+
 
 def _label(edge, digits: int) -> str:
     if isinstance(edge, float):
@@ -85,31 +89,46 @@ class BinningSpec:
         return ColumnDescriptor(self.output_type, True, any(map(math.isnan, floats)), any(map(math.isinf, floats)))
 
     def column(self, value):
-        """The bin of a Spark column, as a chain of conditions."""
-        kind, last = self.output_type.spark, len(self.names) - 1
-        out = F.lit(None).cast(kind)
+        """The bin of a Spark column: a chain of conditions for few bins, a binary search of the edges for many."""
+        kind = self.output_type.spark
+        out = self._chained(value, kind) if len(self.names) <= CHAINED else self._searched(value, kind)
+        if self.input_type in (ColumnType.DECIMAL, ColumnType.INTEGER):
+            out = F.when(F.isnan(value), F.lit(self.nan_bin).cast(kind)).otherwise(out)
+        return out
+
+    def _chained(self, value, kind):
+        out, last = F.lit(None).cast(kind), len(self.names) - 1
         for i in range(last, -1, -1):
             a, b = F.lit(self.edges[i]), F.lit(self.edges[i + 1])
             above = value >= a if not self.right or (self.both and i == 0) else value > a
             below = value <= b if self.right or (self.both and i == last) else value < b
             out = F.when(above & below, F.lit(self.names[i]).cast(kind)).otherwise(out)
-        if self.input_type in (ColumnType.DECIMAL, ColumnType.INTEGER):
-            out = F.when(F.isnan(value), F.lit(self.nan_bin).cast(kind)).otherwise(out)
         return out
 
+    def _searched(self, value, kind):
+        edges, n = F.array(*map(F.lit, self.edges)), len(self.edges)
+        steps = F.array(*(F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)))
+
+        def further(at, step):
+            edge = F.get(edges, at + step - 1)
+            return F.when((at + step <= n) & (edge < value if self.right else edge <= value), at + step).otherwise(at)
+
+        # how many edges lie under the value
+        under = F.aggregate(steps, F.lit(0), further)
+        if self.both:
+            under = F.when(value == F.lit(self.edges[0]), 1).when(value == F.lit(self.edges[-1]), n - 1).otherwise(under)
+        return F.when(value.isNotNull() & (under < n), F.get(F.array(*(F.lit(x).cast(kind) for x in self.names)), under - 1))
+
     def __call__(self, value):
         """The bin of a Python value."""
         if value is None:
             return None
         if isinstance(value, float) and math.isnan(value):
             return self.nan_bin
-        last = len(self.names) - 1
-        for i, (a, b) in enumerate(pairwise(self.edges)):
-            above = value >= a if not self.right or (self.both and i == 0) else value > a
-            below = value <= b if self.right or (self.both and i == last) else value < b
-            if above and below:
-                return self.names[i]
-        return None
+        if self.both and value in (self.edges[0], self.edges[-1]):
+            return self.names[0 if value == self.edges[0] else -1]
+        under = (bisect_left if self.right else bisect_right)(self.edges, value)
+        return self.names[under - 1] if 0 < under < len(self.edges) else None
 
     def _key(self):
         return tuple(self.edges), tuple(self.names), self.right, self.both, self.nan_bin

@@ -102,30 +102,56 @@ def discrete_gaussian(variance: Fraction) -> int:
             return y
 
 
-def _grid(scale: float) -> Fraction:
-    return Fraction(2) ** (math.floor(math.log2(scale)) - GRID)
+def _power(x: Fraction) -> int:
+    """The whole part of the base-2 logarithm of a positive number."""
+    k = x.numerator.bit_length() - x.denominator.bit_length()
+    return k if x >= Fraction(2) ** k else k - 1
+
+
+def root_below(x: Fraction, bits: int = 64) -> Fraction:
+    """A square root, rounded down: a budget's epsilon never grows by it."""
+    shift = 2 * max(0, bits - _power(x) // 2) if x else 0
+    return Fraction(isqrt(math.floor(x * 2**shift)), 2 ** (shift // 2))
 
 
 @dataclass(frozen=True)
 class Noise:
-    """A mechanism and its parameter: the scale, or the variance of the Gaussian ones."""
+    """A mechanism and its parameter: the scale, or the variance of the Gaussian ones; and how far one row moves the number it is added to.
+
+    Real numbers are summed as whole multiples of grid, so that a sum's sensitivity is exact however Spark orders it.
+    """
 
     mechanism: NoiseMechanism
     parameter: Fraction
+    per_row: Fraction = Fraction(1)
+
+    @property
+    def grid(self) -> Fraction | None:
+        """The step of a real number's noise; None for whole numbers and without noise."""
+        if self.parameter == 0 or self.mechanism not in (NoiseMechanism.LAPLACE, NoiseMechanism.GAUSSIAN):
+            return None
+        scale = _power(self.parameter) if self.mechanism is NoiseMechanism.LAPLACE else _power(self.parameter) // 2
+        return Fraction(2) ** max(scale - GRID, _power(self.per_row) - 2 * GRID)
 
     def add(self, value):
-        """A fresh draw added to a number."""
+        """A fresh draw added to a number, which is rounded to the grid if there is one."""
+        if value is None or self.grid is None:
+            return self.add_steps(value)
+        return self.add_steps(round(Fraction(value) / self.grid))
+
+    def add_steps(self, value):
+        """A fresh draw added to a whole number: of steps of the grid, if there is one."""
         if self.parameter == 0 or value is None:
             return value
-        kind, p = self.mechanism, self.parameter
+        kind, p, g = self.mechanism, self.parameter, self.grid
         if kind is NoiseMechanism.GEOMETRIC:
             return value + discrete_laplace(p)
         if kind is NoiseMechanism.DISCRETE_GAUSSIAN:
             return value + discrete_gaussian(p)
-        g = _grid(float(p) if kind is NoiseMechanism.LAPLACE else math.sqrt(p))
-        # rounding to the grid moves a value by up to half of it, so the noise is wider by this much
-        k = discrete_laplace((p + g) / g) if kind is NoiseMechanism.LAPLACE else discrete_gaussian(p / g**2 * (1 + Fraction(1, 1 << (GRID - 2))))
-        return float((round(Fraction(value) / g) + k) * g)
+        # a row's rounding moves its steps to the next whole one at most
+        steps = Fraction(math.floor(self.per_row / g) + 1) / self.per_row
+        k = discrete_laplace(p * steps) if kind is NoiseMechanism.LAPLACE else discrete_gaussian(p * steps**2)
+        return float((int(value) + k) * g)
 
     def info(self) -> dict:
         return {"noise_mechanism": self.mechanism, "noise_parameter": float(self.parameter)}

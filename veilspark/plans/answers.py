@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ..budget import ApproxDPBudget, PrivacyBudget, RhoZCDPBudget
 from ..keyset import BROADCAST_KEYS, KeySet, KeySetPlan, join_keys, spark_session
-from ..operators.noise import Noise, NoiseMechanism, discrete_laplace, gumbel, uniform
+from ..operators.noise import Noise, NoiseMechanism, discrete_laplace, gumbel, root_below, uniform
 from ..protect import MaxGroupsPerID, MaxRowsPerGroupPerID, MaxRowsPerID
 from ..sources.shipping import ship
 from ..types import NUMERIC, ColumnType, Grouped, Ids, Rows, quoted
@@ -45,11 +45,19 @@ LONG_SAFE = 1 << 20
 
 @dataclass(frozen=True)
 class Part:
-    """A sum over rows: its Spark aggregate, whether it is whole, and how far one row moves it."""
+    """A sum over rows: its Spark aggregate, whether it is whole, how far one row moves it, and what it sums."""
 
     column: object
     whole: bool
     per_row: Fraction
+    value: object = None
+
+    def under(self, noise: Noise):
+        """The aggregate that noise is added to: of whole steps of its grid, if it has one."""
+        if noise.grid is None:
+            return self.column
+        step = float(noise.grid)
+        return _summed(F.rint(self.value / F.lit(step)).cast("long"), True, self.per_row / noise.grid)
 
 
 @dataclass(frozen=True)
@@ -101,14 +109,14 @@ def noise_for(part: Part, metric, grouping, budget: PrivacyBudget, share: int, g
     if gaussian:
         kind = NoiseMechanism.DISCRETE_GAUSSIAN if part.whole else NoiseMechanism.GAUSSIAN
         rho = budget.amounts[0]
-        return Noise(kind, Fraction(0) if budget.is_infinite else part.per_row**2 * _l2_squared(metric, grouping) * share / (2 * rho))
+        return Noise(kind, Fraction(0) if budget.is_infinite else part.per_row**2 * _l2_squared(metric, grouping) * share / (2 * rho), part.per_row)
     kind = NoiseMechanism.GEOMETRIC if part.whole else NoiseMechanism.LAPLACE
     if budget.is_infinite:
         return Noise(kind, Fraction(0))
     epsilon = budget.amounts[0] / share
     if isinstance(budget, RhoZCDPBudget):  # epsilon-DP is epsilon^2 / 2 zCDP
-        epsilon = Fraction(math.sqrt(2 * epsilon))
-    return Noise(kind, part.per_row * _l1(metric) / epsilon)
+        epsilon = root_below(2 * epsilon)
+    return Noise(kind, part.per_row * _l1(metric) / epsilon, part.per_row)
 
 
 def _gaussian(mechanism: str, budget: PrivacyBudget) -> bool:
@@ -170,7 +178,10 @@ SCRATCH: list[str] = []
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/veilspark-answers-{spark.sparkContext.applicationId}"
 
 
@@ -234,7 +245,7 @@ def recipe(agg: ir.Aggregate, kind: ColumnType | None):
     if agg.kind == "sum":
         out = kind.spark
         return (
-            [Part(_summed(x, whole, size), whole, size)],
+            [Part(_summed(x, whole, size), whole, size, x)],
             lambda c: F.coalesce(c[0], F.lit(0)).cast(out),
             lambda v: int(v[0] or 0) if whole else float(v[0] or 0.0),
             out,
@@ -242,14 +253,14 @@ def recipe(agg: ir.Aggregate, kind: ColumnType | None):
     middle = Fraction(math.ceil((low + high) / 2)) if whole else (low + high) / 2
     mid = F.lit(int(middle)).cast("long") if whole else F.lit(float(middle))
     off = max(high - middle, middle - low)
-    first = Part(_summed(x - mid, whole, off), whole, off)
+    first = Part(_summed(x - mid, whole, off), whole, off, x - mid)
     if agg.kind == "average":
 
         def average(v):
             return float(v[0] or 0) / max(1, v[1] or 0) + float(middle)
 
         return [first, one], lambda c: F.coalesce(c[0] / F.greatest(c[1], F.lit(1)), F.lit(0.0)) + F.lit(float(middle)), average, T.DoubleType()
-    second = Part(_summed((x - mid) * (x - mid), whole, off**2), whole, off**2)
+    second = Part(_summed((x - mid) * (x - mid), whole, off**2), whole, off**2, (x - mid) * (x - mid))
     root = agg.kind == "stdev"
 
     def spread(v):
@@ -369,10 +380,10 @@ def _measure(agg: ir.Aggregate, t: Table, keys: KeySet, grouping, budget):
                 df = per_key(t.df, keys, grouping, {f"__p{i}": p.column for i, p in enumerate(parts)})
                 df = df.select(*map(quoted, grouping), native([F.col(f"__p{i}") for i in range(len(parts))]).alias(name))
         else:
-            exact = per_key(t.df, keys, grouping, {f"__p{i}": p.column for i, p in enumerate(parts)})
+            exact = per_key(t.df, keys, grouping, {f"__p{i}": p.under(n) for i, (p, n) in enumerate(zip(parts, noises))})
 
             def finish(row):
-                return (*row[:width], plain([n.add(v or 0) for n, v in zip(noises, row[width:])]))
+                return (*row[:width], plain([n.add_steps(v or 0) for n, v in zip(noises, row[width:])]))
 
             df = fix(exact, keys, _schema(t.meta, grouping, {name: out}), finish)
         return df if agg.threshold is None else df.where(quoted(name) >= agg.threshold)
@@ -387,8 +398,31 @@ def _epsilon(budget: PrivacyBudget) -> float:
     """The epsilon that the exponential mechanism may use: its loss is epsilon^2 / 8 in zCDP."""
     if budget.is_infinite:
         return math.inf
-    x = float(budget.amounts[0])
-    return math.sqrt(8 * x) if isinstance(budget, RhoZCDPBudget) else x
+    x = budget.amounts[0]
+    x = root_below(8 * x) if isinstance(budget, RhoZCDPBudget) else x
+    return math.nextafter(float(x), 0)
+
+
+def _exact_quantile(df: DataFrame, value, q: float, keys, grouping, name: str, empty: float) -> DataFrame:
+    """Per key the least value that at least the part q of its values do not pass; empty for a key without values.
+
+    Values are counted, then ranked in blocks that follow their order, so a large group is no single task's.
+    """
+    counted = df.groupBy(*map(quoted, grouping), value.alias("__value")).agg(F.count(F.lit(1)).alias("__n"))
+    # the leading bits of a double follow its order, among the positive ones and among the negative ones
+    size = F.floor(F.log2(F.abs("__value") + 1e-300) * 16)
+    counted = counted.select("*", F.when(F.col("__value") == 0, 0).otherwise(F.signum("__value") * (size + 20_000)).cast("int").alias("__block"))
+    block = [*grouping, "__block"]
+    group = W.partitionBy(*map(quoted, grouping))
+    blocks = counted.groupBy(*map(quoted, block)).agg(F.sum("__n").alias("__sum"))
+    before = F.sum("__sum").over(group.orderBy("__block").rowsBetween(W.unboundedPreceding, 0)) - F.col("__sum")
+    blocks = blocks.select(*map(quoted, block), "__sum", before.alias("__before"), F.sum("__sum").over(group).alias("__total"))
+    # only the block that holds the rank is ranked value by value
+    held = blocks.where((F.col("__before") < F.greatest(F.col("__total") * q, F.lit(1.0))) & (F.col("__before") + F.col("__sum") >= F.greatest(F.col("__total") * q, F.lit(1.0))))
+    inside = W.partitionBy(*map(quoted, block)).orderBy("__value").rowsBetween(W.unboundedPreceding, 0)
+    ranked = join_keys(counted, held.drop("__sum"), block, "inner").select(*map(quoted, grouping), "__value", "__total", (F.col("__before") + F.sum("__n").over(inside)).alias("__upto"))
+    found = per_key(ranked.where(F.col("__upto") >= F.col("__total") * q), keys, grouping, {"__least": F.min("__value")})
+    return found.select(*map(quoted, grouping), F.coalesce("__least", F.lit(empty)).alias(name))
 
 
 def choose_quantile(cells: list[tuple[int, int]], q: float, low: float, high: float, epsilon: float, rows: float) -> float:
@@ -421,6 +455,9 @@ def _quantile(agg, t: Table, keys, grouping, budget):
 
     def run() -> DataFrame:
         clamped = F.least(F.greatest(x, F.lit(low)), F.lit(high))
+        if epsilon == math.inf:
+            kept = join_keys(t.df, _key_frame(keys), grouping, "left_semi") if grouping else t.df
+            return _exact_quantile(kept, clamped, q, keys, grouping, name, (low + high) / 2)
         place = F.least(F.floor((clamped - low) / (high - low) * 2.0**PLACE).cast("long"), F.lit(2**PLACE - 1))
         kept = join_keys(t.df, _key_frame(keys), grouping, "left_semi") if grouping else t.df
         counted = kept.groupBy(*map(quoted, grouping), place.alias("__place")).agg(F.count(F.lit(1)).alias("__n"))
@@ -457,10 +494,7 @@ def _quantile(agg, t: Table, keys, grouping, budget):
         found = ranked.selectExpr("*", spans).where("__span.b > __span.a").select(*map(quoted, grouping), "__span", utility.alias("__utility"), F.log(length.cast("double")).alias("__length"))
         found = found.withColumn("__draw", F.udf(gumbel, "double").asNondeterministic()())
         drawn = F.col("__length") + F.col("__draw")
-        if epsilon == math.inf:
-            rank = F.struct(F.round("__utility", 6), drawn)
-        else:
-            rank = drawn + F.col("__utility") * F.lit(epsilon / (2 * rows * max(q, 1 - q)))
+        rank = drawn + F.col("__utility") * F.lit(epsilon / (2 * rows * max(q, 1 - q)))
         best = per_key(found, keys, grouping, {"__best": F.max_by("__span", rank)})
 
         def finish(row):

@@ -98,6 +98,23 @@ def _without_ansi(df: DataFrame, build):
         conf.set("spark.sql.ansi.enabled", before)
 
 
+#: Expressions, by the names of Spark's classes, that raise errors for some values even without ANSI mode, or run foreign code.
+RAISING = frozenset(
+    "RaiseError AssertTrue CallMethodViaReflection TryReflect Invoke StaticInvoke ScalaUDF PythonUDF PandasUDF SparkUDF HiveSimpleUDF HiveGenericUDF "
+    "ElementAt ArrayInsert ArrayRepeat Sequence CreateMap MapFromArrays MapFromEntries MapConcat TransformKeys StringToMap "
+    "ToNumber ToBinary ToCharacter AesEncrypt AesDecrypt Encode Decode StringDecode UnBase64 UrlDecode ParseUrl ParseJson FormatString "
+    "JsonToStructs CsvToStructs XmlToStructs FromAvro SchemaOfJson SecondsToTimestamp MillisToTimestamp MicrosToTimestamp MakeInterval".split()
+)
+
+
+def _expressions(e):
+    """An analysed expression and all below it."""
+    yield e
+    children = e.children()
+    for k in range(children.size()):
+        yield from _expressions(children.apply(k))
+
+
 def _filter(node: ir.Filter, scope: Scope) -> Table:
     t = compile_table(node.child, scope)
     try:
@@ -112,6 +129,9 @@ def _filter(node: ir.Filter, scope: Scope) -> Table:
             raise ValueError("a condition may not hold a sub-query: it has to look at one row alone")
         if not condition.deterministic():
             raise ValueError("a condition has to be deterministic")
+        raising = sorted({x.getClass().getSimpleName() for x in _expressions(condition)} & RAISING)
+        if raising:
+            raise ValueError(f"a condition may not use {', '.join(raising)}: an error on a private row would tell of it")
     return Table(df, t.meta)
 
 
@@ -222,6 +242,15 @@ def _map(node: ir.Map, scope: Scope) -> Table:
     return Table(df, t.meta.but(columns=columns, constraints=t.meta.constraints if node.augment else ()))
 
 
+def _distinct_groups(rows):
+    """The first of the rows that a function makes for each group."""
+    seen = set()
+    for row in rows:
+        if row[0] not in seen:
+            seen.add(row[0])
+            yield row
+
+
 def _flat_map(node: ir.FlatMap, scope: Scope) -> Table:
     t = compile_table(node.child, scope)
     ids = isinstance(t.meta.metric, Ids)
@@ -238,11 +267,12 @@ def _flat_map(node: ir.FlatMap, scope: Scope) -> Table:
         raise ValueError("a grouping flat map makes one new column, of a table that has no grouping column yet")
     columns, f, take = _new_columns(t, node, node.augment), node.function.f, _taker(node.new_columns)
     most = None if ids else node.max_rows
-    df = _applied(t.df, node.new_columns, node.augment, lambda row: map(take, islice(f(row), most)))
+    made = _distinct_groups if node.grouping else iter
+    df = _applied(t.df, node.new_columns, node.augment, lambda row: islice(made(map(take, f(row))), most))
     if ids:
         meta = t.meta.but(constraints=tuple(c for c in t.meta.constraints if isinstance(c, MaxGroupsPerID)))
     elif node.grouping:
-        # a row's new rows are in different groups, so a group gets one from each of the rows that differ
+        # a row's new rows are in different groups, as repeats are left out, so a group gets one from each of the rows that differ
         meta = t.meta.but(metric=Grouped(node.new_columns[0][0], Fraction(node.max_rows), t.meta.metric.rows))
     else:
         meta = _with_rows(t.meta, node.max_rows)
@@ -257,9 +287,29 @@ def _flat_map_by_id(node: ir.FlatMapByID, scope: Scope) -> Table:
     if own in dict(node.new_columns):
         raise ValueError(f"the ID column {own!r} is kept by itself and can't be a new one")
     f, take = node.function.f, _taker(node.new_columns)
-    made = F.udf(lambda rows: [take(r) for r in f([x.asDict() for x in rows])], T.ArrayType(_struct(node.new_columns)), useArrow=False)
-    rows = t.df.groupBy(quoted(own).alias("__id")).agg(F.collect_list(F.struct(*map(quoted, t.df.columns))).alias("__rows"))
-    df = rows.select(F.col("__id").alias(own), F.explode(made(F.col("__rows"))).alias("__new")).select(quoted(own), "__new.*")
+    times = [f.name for f in t.df.schema.fields if isinstance(f.dataType, T.TimestampType)]
+    made_times = {k for k, (_, d) in enumerate(node.new_columns) if d.column_type is ColumnType.TIMESTAMP}
+    schema = T.StructType([t.df.schema[own], *_struct(node.new_columns).fields])
+
+    def of_id(table):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kinds = list(to_arrow_schema(schema).types)
+        names, values = table.schema.names, [c.to_pylist() for c in table.columns]
+        for k in (names.index(n) for n in times):
+            values[k] = list(map(_naive, values[k]))
+        # in the order of their contents, so that the answer does not depend on how rows were dealt out
+        rows = sorted(zip(*values), key=lambda row: [(v is None, v != v, v if v is not None and v == v else 0) for v in row])
+        new = list(zip(*(take(r) for r in f([dict(zip(names, row)) for row in rows])))) or [()] * len(node.new_columns)
+        for k in made_times:
+            new[k] = [None if v is None else v.astimezone(datetime.timezone.utc) for v in new[k]]
+        ids = [values[names.index(own)][0]] * len(new[0])
+        if own in times:
+            ids = [None if v is None else v.astimezone(datetime.timezone.utc) for v in ids]
+        return pa.Table.from_arrays([pa.array(v, k) for v, k in zip([ids, *new], kinds)], names=schema.names)
+
+    # an ID's rows are one call of the function, so they are one task's
+    df = t.df.groupBy(quoted(own)).applyInArrow(of_id, schema)
     return Table(df, t.meta.but(columns={own: t.meta.columns[own], **dict(node.new_columns)}, constraints=()))
 
 

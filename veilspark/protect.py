@@ -173,4 +173,7 @@ class TruncationStrategy:
         max_rows = 1
 
         def apply(self, df: DataFrame, keys: list[str]) -> DataFrame:
-            return _ranked(df, F.count(F.lit(1)), W.partitionBy(*map(quoted, keys)), 1)
+            # aggregated before the shuffle, so a key with very many rows is nowhere held
+            rows = F.any_value(F.struct(*map(quoted, df.columns))).alias("__row")
+            found = df.groupBy(*(quoted(k).alias(f"__key_{i}") for i, k in enumerate(keys))).agg(F.count(F.lit(1)).alias("__rows"), rows)
+            return found.where("__rows = 1").select("__row.*")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import math
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +17,13 @@ from . import (
     ColumnDescriptor,
     ColumnType,
     KeySet,
+    KeySetPlan,
     MaxGroupsPerID,
     MaxRowsPerGroupPerID,
     MaxRowsPerID,
     PureDPBudget,
     QueryBuilder,
+    RhoZCDPBudget,
     Session,
     TruncationStrategy,
     config,
@@ -121,9 +124,9 @@ def _special(spark, sf_dir) -> Session:
     return _rows(spark, sf_dir, "events", _with_nulls(spark, sf_dir))
 
 
-@registered(f"SELECT COUNT(*) AS n FROM (SELECT DISTINCT event_type, CASE WHEN event_id % 10 < 4 THEN event_id % 10 ELSE -1 END AS v FROM {_NULLS} WHERE event_id % 10 < 4)")
+@registered(f"SELECT COUNT(*) AS n FROM (SELECT DISTINCT event_type, value FROM {_NULLS})")
 def count_distinct_with_nulls(spark, sf_dir):
-    return _special(spark, sf_dir).evaluate(QueryBuilder("events").filter("event_id % 10 < 4").count_distinct(["event_type", "value"], name="n"), INF)
+    return _special(spark, sf_dir).evaluate(QueryBuilder("events").count_distinct(["event_type", "value"], name="n"), INF)
 
 
 @registered(f"SELECT event_type, COUNT(*) AS count FROM {_NULLS} WHERE event_type IS NULL OR event_type = 'click' GROUP BY 1")
@@ -166,22 +169,22 @@ def stdev_clamped(spark, sf_dir):
     return _rounded(_rows(spark, sf_dir, "lineitem").evaluate(query, INF), "l_quantity_stdev")
 
 
-@registered()
+@registered(f"SELECT k.l_returnflag, COALESCE(MIN(v) FILTER (r >= 0.25 * n), 30.0) AS \"l_quantity_quantile(0.25)\" FROM {_FLAG_KEYS} LEFT JOIN (SELECT l_returnflag, LEAST(GREATEST(l_quantity, 0), 60) AS v, ROW_NUMBER() OVER (PARTITION BY l_returnflag ORDER BY LEAST(GREATEST(l_quantity, 0), 60)) AS r, COUNT(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem) l USING (l_returnflag) GROUP BY 1")
 def quantile(spark, sf_dir):
     return _rows(spark, sf_dir, "lineitem").evaluate(QueryBuilder("lineitem").groupby(_flags()).quantile("l_quantity", 0.25, 0, 60), INF)
 
 
-@registered()
+@registered("SELECT MIN(LEAST(GREATEST(l_quantity, 0), 60)) AS l_quantity_min FROM lineitem")
 def quantile_min(spark, sf_dir):
     return _rows(spark, sf_dir, "lineitem").evaluate(QueryBuilder("lineitem").min("l_quantity", 0, 60), INF)
 
 
-@registered()
+@registered("SELECT MAX(LEAST(GREATEST(l_quantity, 0), 60)) AS l_quantity_max FROM lineitem")
 def quantile_max(spark, sf_dir):
     return _rows(spark, sf_dir, "lineitem").evaluate(QueryBuilder("lineitem").max("l_quantity", 0, 60), INF)
 
 
-@registered()
+@registered(f"SELECT k.l_returnflag, COALESCE(MIN(v) FILTER (r >= 0.5 * n), 50000.0) AS \"l_extendedprice_median\" FROM {_FLAG_KEYS} LEFT JOIN (SELECT l_returnflag, LEAST(GREATEST(l_extendedprice, 0), 100000) AS v, ROW_NUMBER() OVER (PARTITION BY l_returnflag ORDER BY LEAST(GREATEST(l_extendedprice, 0), 100000)) AS r, COUNT(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem) l USING (l_returnflag) GROUP BY 1")
 def quantile_median(spark, sf_dir):
     return _rows(spark, sf_dir, "lineitem").evaluate(QueryBuilder("lineitem").groupby(_flags()).median("l_extendedprice", 0, 100000), INF)
 
@@ -269,6 +272,44 @@ def histogram_left_closed(spark, sf_dir):
     return _rows(spark, sf_dir, "lineitem").evaluate(QueryBuilder("lineitem").histogram("l_linenumber", spec, name="bin"), INF)
 
 
+_DAYS = "(VALUES ('early'), ('middle'), ('late')) AS k(era)"
+
+
+@registered(
+    f"SELECT era, COUNT(l_orderkey) AS count FROM {_DAYS} LEFT JOIN (SELECT l_orderkey, CASE WHEN l_shipdate >= TIMESTAMP '1992-01-01' AND l_shipdate < TIMESTAMP '1994-06-01' THEN 'early' "
+    "WHEN l_shipdate >= TIMESTAMP '1994-06-01' AND l_shipdate < TIMESTAMP '1997-01-01 12:30:00' THEN 'middle' "
+    "WHEN l_shipdate >= TIMESTAMP '1997-01-01 12:30:00' AND l_shipdate <= TIMESTAMP '1999-01-01' THEN 'late' END AS era FROM lineitem) USING (era) GROUP BY 1"
+)
+def histogram_timestamps(spark, sf_dir):
+    at = datetime.datetime
+    spec = BinningSpec([at(1992, 1, 1), at(1994, 6, 1), at(1997, 1, 1, 12, 30), at(1999, 1, 1)], names=["early", "middle", "late"], right=False)
+    return _rows(spark, sf_dir, "lineitem").evaluate(QueryBuilder("lineitem").histogram("l_shipdate", spec, name="era"), INF)
+
+
+@registered(
+    "SELECT year, COUNT(day) AS count FROM (VALUES ('1993'), ('1994'), ('1995')) AS k(year) LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS day FROM orders) "
+    "ON CAST(EXTRACT(year FROM day) AS VARCHAR) = year GROUP BY 1"
+)
+def histogram_dates(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+    spec = BinningSpec([datetime.date(y, 1, 1) for y in range(1993, 1997)], names=["1993", "1994", "1995"], right=False, include_both_endpoints=False)
+    return _rows(spark, sf_dir, "orders", orders).evaluate(QueryBuilder("orders").histogram("day", spec, name="year"), INF)
+
+
+@registered(
+    f"SELECT b AS bin, COUNT(*) AS count FROM (SELECT CASE WHEN isnan(value) THEN 'not a number' WHEN value >= 0 AND value <= 50 THEN 'low' WHEN value > 50 AND value <= 1000 THEN 'high' END AS b FROM {_NULLS}) WHERE b IS NOT NULL GROUP BY 1"
+)
+def histogram_nan_bin(spark, sf_dir):
+    spec = BinningSpec([0.0, 50.0, 1000.0], names=["low", "high"], nan_bin="not a number")
+    return _special(spark, sf_dir).evaluate(QueryBuilder("events").histogram("value", spec, name="bin"), INF)
+
+
+@registered("SELECT CAST(CEIL(l_extendedprice / 50) AS BIGINT) AS bin, COUNT(*) AS count FROM lineitem WHERE l_extendedprice > 0 AND l_extendedprice <= 100000 GROUP BY 1")
+def histogram_many_bins(spark, sf_dir):
+    spec = BinningSpec([50.0 * k for k in range(2001)], names=list(range(1, 2001)), include_both_endpoints=False)
+    return _rows(spark, sf_dir, "lineitem").evaluate(QueryBuilder("lineitem").histogram("l_extendedprice", spec, name="bin").suppress(1), INF)
+
+
 # ---- special values
 
 
@@ -364,6 +405,39 @@ def join_private_ids(spark, sf_dir):
     return _events(spark, sf_dir).evaluate(clicks.join_private(bought, join_columns=["user_id"]).count(), INF)
 
 
+def _customers_with_nation(spark, sf_dir) -> Session:
+    builder = Session.Builder().with_privacy_budget(INF).with_private_dataframe("customer", _table(spark, sf_dir, "customer"), AddOneRow())
+    return builder.with_public_dataframe("nation", _table(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "c_nationkey")).build()
+
+
+@registered("SELECT n_regionkey, COUNT(*) AS count FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def join_public_by_name(spark, sf_dir):
+    session = _customers_with_nation(spark, sf_dir)
+    return session.evaluate(QueryBuilder("customer").join_public("nation").groupby(KeySet.from_dict({"n_regionkey": list(range(5))})).count(), INF)
+
+
+@registered("SELECT CAST(SUM(LEAST(n, 2) * LEAST(n, 3)) AS BIGINT) AS count FROM (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY 1)")
+def join_private_self(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice")
+    b = QueryBuilder("orders").join_private("orders", TruncationStrategy.DropExcess(2), TruncationStrategy.DropExcess(3), join_columns=["o_custkey"])
+    return _rows(spark, sf_dir, "orders", orders).evaluate(b.count(), INF)
+
+
+@registered(
+    "SELECT * FROM (VALUES ('c_name', false, false, false), ('c_nationkey', false, false, false), ('n_name', true, false, false), ('ratio', false, false, true), ('ratio2', true, true, true)) AS t(name, may_be_null, may_be_nan, may_be_inf)"
+)
+def column_flags(spark, sf_dir):
+    """What may be special in the columns after a left join, a row function, and replaced values."""
+    nation = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    customer = _table(spark, sf_dir, "customer").select(F.coalesce("c_name", F.lit("")).alias("c_name"), F.coalesce("c_nationkey", F.lit(0)).alias("c_nationkey"))
+    session = _rows(spark, sf_dir, "customer", customer)
+    ratio = ColumnDescriptor(ColumnType.DECIMAL, allow_null=True, allow_nan=True, allow_inf=True)
+    b = QueryBuilder("customer").map(lambda row: {"ratio": None, "ratio2": math.nan}, {"ratio": ratio, "ratio2": ratio}, augment=True)
+    session.create_view(b.replace_null_and_nan({"ratio": 0.0}).join_public(nation, how="left"), "v", cache=False)
+    flags = {n: (d.allow_null, d.allow_nan, d.allow_inf) for n, d in session.get_schema("v").items()}
+    return spark.createDataFrame([(n, *f) for n, f in sorted(flags.items())], "name string, may_be_null boolean, may_be_nan boolean, may_be_inf boolean")
+
+
 # ---- bounds on contributions
 
 
@@ -433,6 +507,36 @@ def keyset_cross(spark, sf_dir):
     return (KeySet.from_dataframe(_table(spark, sf_dir, "nation").select("n_name")) * KeySet.from_dict({"i": list(range(300))}) * KeySet.from_tuples([("a",), ("b",), (None,)], ["s"])).dataframe()
 
 
+@registered("SELECT c_nationkey AS k, c_mktsegment AS s FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer)")
+def keyset_from_pandas(spark, sf_dir):
+    made = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_mktsegment").alias("s")).distinct().toPandas()
+    return KeySet.from_pandas(made).dataframe()
+
+
+@registered(
+    "SELECT 'product' AS name, (SELECT COUNT(DISTINCT c_nationkey) FROM customer) * 3 AS n, true AS same UNION ALL SELECT 'subtracted', (SELECT COUNT(DISTINCT c_nationkey) FROM customer WHERE c_nationkey > 1) * 3, false "
+    "UNION ALL SELECT 'projected', 3, false"
+)
+def keyset_sizes(spark, sf_dir):
+    """Sizes of key sets, and whether each is the product, told by comparison."""
+    nations = KeySet.from_dataframe(_table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")))
+    product = nations * KeySet.from_dict({"x": [1, 2, 3]})
+    sets = {"product": (KeySet.from_dict({"x": [3, 1, 2, 1]}) * nations)[["k", "x"]], "subtracted": product - KeySet.from_dict({"k": [0, 1]}), "projected": product["x"]}
+    return spark.createDataFrame([(n, k.size(), k == product) for n, k in sets.items()], "name string, n long, same boolean")
+
+
+@registered(
+    "SELECT f.l_returnflag, CAST(x AS BIGINT) AS l_linenumber, COUNT(l_orderkey) AS count FROM (SELECT DISTINCT l_returnflag FROM lineitem WHERE l_returnflag <> 'A' UNION ALL SELECT 'Z') f "
+    "CROSS JOIN (VALUES (1), (2), (99)) AS v(x) LEFT JOIN lineitem l ON l.l_returnflag = f.l_returnflag AND l.l_linenumber = x GROUP BY 1, 2"
+)
+def keyset_plan(spark, sf_dir):
+    """Detected flags, less one, times line numbers, and one more flag."""
+    everything = ApproxDPBudget.inf()
+    plan = (KeySetPlan.detect("l_returnflag").filter("l_returnflag <> 'A'").union(KeySet.from_dict({"l_returnflag": ["Z"]}))) * KeySet.from_dict({"l_linenumber": [1, 2, 99]})
+    with config.features.auto_partition_selection.on():
+        return _rows(spark, sf_dir, "lineitem", budget=everything).evaluate(QueryBuilder("lineitem").groupby(plan).count(), everything)
+
+
 # ---- sessions
 
 
@@ -448,3 +552,63 @@ def view_then_count(spark, sf_dir):
     session = _rows(spark, sf_dir, "lineitem")
     session.create_view(QueryBuilder("lineitem").filter("l_quantity > 25").select(["l_linestatus", "l_quantity"]), "large", cache=False)
     return session.evaluate(QueryBuilder("large").groupby(KeySet.from_dict({"l_linestatus": STATUSES})).count(), INF)
+
+
+@registered("SELECT l_linestatus, COUNT(*) AS count FROM lineitem WHERE l_quantity > 25 GROUP BY 1")
+def view_cached(spark, sf_dir):
+    """A cached view under a name that a deleted one had."""
+    session = _rows(spark, sf_dir, "lineitem")
+    session.create_view(QueryBuilder("lineitem").filter("l_quantity > 40"), "large", cache=True)
+    session.delete_view("large")
+    session.create_view(QueryBuilder("lineitem").filter("l_quantity > 25").select(["l_linestatus", "l_quantity"]), "large", cache=True)
+    return session.evaluate(QueryBuilder("large").groupby(KeySet.from_dict({"l_linestatus": STATUSES})).count(), INF)
+
+
+@registered("SELECT event_type AS part, CAST(SUM(LEAST(n, 10)) AS BIGINT) AS count FROM (SELECT event_type, user_id, COUNT(*) AS n FROM events GROUP BY 1, 2) WHERE event_type IN ('click', 'purchase') GROUP BY 1")
+def partition_ids(spark, sf_dir):
+    """Parts of an ID table, which go on hiding whole IDs."""
+    session = _events(spark, sf_dir)
+    session.create_view(QueryBuilder("events").enforce(MaxGroupsPerID("event_type", 50)).enforce(MaxRowsPerGroupPerID("event_type", 10)), "bounded", cache=False)
+    parts = session.partition_and_create("bounded", INF, "event_type", {"click": "click", "purchase": "purchase"})
+    found = [s.evaluate(QueryBuilder(n).count(), INF).select(F.lit(n).alias("part"), "count") for n, s in parts.items()]
+    return found[0].union(found[1])
+
+
+@registered(
+    "SELECT name, mechanism, CAST(parameter AS DOUBLE) AS parameter FROM (VALUES ('average', 'LAPLACE', 100.0), ('average', 'GEOMETRIC', 10.0), ('bounded groups', 'DISCRETE_GAUSSIAN', 9.0), ('count', 'GEOMETRIC', 2.0), ('distinct ids', 'GEOMETRIC', 1.0), "
+    "('join', 'GEOMETRIC', 12.0), ('sum', 'GAUSSIAN', 12.5)) AS t(name, mechanism, parameter)"
+)
+def noise_parameters(spark, sf_dir):
+    """Mechanism and parameter of the noise that queries would get for a budget of one."""
+    pure, zcdp = PureDPBudget(1), RhoZCDPBudget(1)
+    b = QueryBuilder("events")
+    in_groups = b.enforce(MaxGroupsPerID("event_type", 2)).enforce(MaxRowsPerGroupPerID("event_type", 3)).groupby(KeySet.from_dict({"event_type": ["click"]}))
+    public = spark.createDataFrame([("click", 1), ("click", 2), ("view", 1)], "event_type string, k long")
+    asked = [
+        ("count", b.enforce(MaxRowsPerID(2)).count(), pure),
+        ("average", b.enforce(MaxRowsPerID(5)).average("value", 0, 20), pure),
+        ("sum", b.enforce(MaxRowsPerID(5)).sum("value", 0, 1), zcdp),
+        ("bounded groups", in_groups.count(), zcdp),
+        ("distinct ids", b.enforce(MaxRowsPerID(9)).count_distinct(["user_id"]), pure),
+        ("join", b.enforce(MaxRowsPerID(6)).join_public(public).count(), pure),
+    ]
+    rows = [(n, i["noise_mechanism"].name, float(i["noise_parameter"])) for n, query, budget in asked for i in _events(spark, sf_dir, budget)._noise_info(query, budget)]
+    return spark.createDataFrame(rows, "name string, mechanism string, parameter double")
+
+
+@registered("SELECT name, CAST(epsilon AS DOUBLE) AS epsilon FROM (VALUES ('after a count', 1.5), ('after one too dear', 1.5), ('after a part', 1.0)) AS t(name, epsilon)")
+def budget_spent(spark, sf_dir):
+    """What is left of an epsilon of two: a query spends its share, one that asks for too much nothing, and parts their budget once."""
+    session = _rows(spark, sf_dir, "lineitem", budget=PureDPBudget(2))
+    left = lambda name: (name, float(session.remaining_privacy_budget.epsilon))
+    session._evaluate_with_noise_info(QueryBuilder("lineitem").count(), PureDPBudget(0.5))
+    rows = [left("after a count")]
+    try:
+        session.evaluate(QueryBuilder("lineitem").count(), PureDPBudget(1.75))
+    except RuntimeError:
+        rows.append(left("after one too dear"))
+    parts = session.partition_and_create("lineitem", PureDPBudget(0.5), "l_returnflag", {"a": "A", "r": "R"})
+    for part in parts.values():
+        part.stop()
+    rows.append(left("after a part"))
+    return spark.createDataFrame(rows, "name string, epsilon double")

@@ -282,7 +282,8 @@ class Session:
         keys = plan.keys if plan else getattr(obj, "_keys", None)
         if keys is not None and not isinstance(obj, QueryBuilder):
             private = keys if isinstance(keys, tuple) else tuple(keys.columns()) if isinstance(keys, KeySetPlan) else None
-            lines.append(f"  grouped by {keys!r}" if private is None else f"  grouped by {', '.join(private)}, chosen privately")
+            size = f", {keys.size()} keys" if isinstance(keys, KeySet) and keys.columns() else ""
+            lines.append(f"  grouped by {keys!r}{size}" if private is None else f"  grouped by {', '.join(private)}, chosen privately")
         if plan:
             lines.append(f"  {plan.kind} to {', '.join(plan.names)}")
         return "\n".join(lines)
