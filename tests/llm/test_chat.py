@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 from pyspark.sql import functions as F
 
@@ -50,16 +51,54 @@ def test_round_trip_whole(spark):
     assert chat.digests(frame.limit(0)).count() == 0
 
 
-def test_round_trip_narrow_windows_and_blocks(spark):
-    frame = check(spark, budget=12, history=3, block=4)
-    made = chat.windows(frame, budget=12, history=3, block=4)
-    read = chat.parse(made).where("conv_id = 1 and window > 0").collect()
-    assert len(read) > 5
-    for row in read:
-        first = [t.position for t in row.turns if t.kind != "repeat"][0]
-        assert [t.position for t in row.turns if t.kind == "repeat"] == sorted({0, *range(max(0, first - 3), first)})
-        assert row.turns[0].role == "system"
-    check(spark, budget=1, history=0, block=1)
+def spans_of(rows, budget, history):
+    """{conv_id: [(own positions, repeated positions)]} by going through each conversation."""
+    by = {}
+    for conv_id, turn, role, text in rows:
+        by.setdefault(conv_id, []).append(((turn is not None, turn or 0), role or "", text or ""))
+    out = {}
+    for conv_id, turns in by.items():
+        turns.sort()
+        size = [len(re.split(r"\s+", x)) + 1 for _, _, x in turns]
+        system = size[0] if turns[0][1] == "system" and size[0] < budget else 0
+        wide, at, cells = budget - system, 0, {}
+        for p, n in enumerate(size):
+            if p == 0 and system:
+                cells.setdefault(0, ([], []))[1].append(0)
+                continue
+            crosses = at // wide != (at + n - 1) // wide
+            cells.setdefault((at + n) // wide if crosses else at // wide, ([], []))[0 if crosses else 1].append(p)
+            at += n
+        found = []
+        for crossing, rest in cells.values():
+            own = sum(size[p] for p in crossing + rest if p or not system)
+            found += [crossing + rest] if not crossing or not rest or own <= wide else [crossing, rest]
+        found.sort()
+        out[conv_id] = []
+        for own in found:
+            left = budget - system - sum(size[p] for p in own if p or not system)
+            again = [0] if system and own[0] and left >= 0 else []
+            for p in range(own[0] - 1, max(-1, own[0] - 1 - history), -1):
+                left -= size[p] if p or not system else 0
+                if left >= 0 and p not in again:
+                    again.append(p)
+            out[conv_id].append((own, sorted(again), sum(size[p] for p in own + again)))
+    return out
+
+
+def test_windows_keep_to_the_budget(spark):
+    for budget, history, block in ((12, 3, 4), (40, 2, 4096), (64, 9, 7), (1, 0, 1), (100_000, 2, 16)):
+        frame = check(spark, budget=budget, history=history, block=block)
+        made = chat.windows(frame, budget=budget, history=history, block=block)
+        got, tokens = {}, {(r.conv_id, r.window): (r.tokens, r.over) for r in made.collect()}
+        for row in chat.parse(made).orderBy("window").collect():
+            own, again = ([t.position for t in row.turns if (t.kind == "repeat") == k] for k in (False, True))
+            n, over = tokens[row.conv_id, row.window]
+            got.setdefault(row.conv_id, []).append((own, again, n))
+            assert own == list(range(own[0], own[-1] + 1)) and own[0] == row.window
+            assert over == (n > budget) and (not over or len(own) == 1 and not again)
+        assert got == spans_of(ROWS, budget, history)
+    assert len(spans_of(ROWS, 64, 9)[1]) > 5 and any(again[:1] == [0] and len(again) > 2 for _, again, _ in spans_of(ROWS, 64, 9)[1])
 
 
 def test_masks_are_offsets_of_targets(spark):
