@@ -1,4 +1,6 @@
+import html.parser
 import re
+import urllib.parse
 
 from veilspark.llm import common, urls
 
@@ -70,3 +72,96 @@ def test_targets_that_are_not_pages_vote(spark):
     hops = spark.createDataFrame([("http://other.info/5", "http://B.example.com/de/w")], "from_url string, to_url string")
     want = {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "block", 6: "allow"}
     assert {r.page_id: r.verdict for r in urls.judge(frame, redirects=hops).collect()} == want
+
+
+class Links(html.parser.HTMLParser):
+    """Canonical links, refresh targets and the base of a page."""
+
+    def __init__(self):
+        super().__init__()
+        self.links, self.base = [], None
+
+    def handle_starttag(self, tag, attrs):
+        a = {k: v or "" for k, v in reversed(attrs)}
+        if tag == "base" and self.base is None and "href" in a:
+            self.base = a["href"].strip()
+        if tag == "link" and "canonical" in a.get("rel", "").lower().split():
+            self.links.append(a.get("href", "").strip())
+        if tag == "meta" and a.get("http-equiv", "").lower().strip() == "refresh":
+            found = re.match(r"(?i)[\d.\s]*[;,]?\s*url\s*=\s*[\"']?([^\"']*)", a.get("content", "").strip())
+            if found:
+                self.links.append(found[1].strip())
+
+
+def node(url):
+    p = urllib.parse.urlsplit(urllib.parse.urljoin(url, urllib.parse.urlsplit(url).path or "/") if "/." in url else url)
+    q = urllib.parse.urlsplit(url)
+    host = re.sub(r":(80|443)?$", "", split(url)[0])
+    return host + (p.path or "/") + ("?" + q.query if q.query else "")
+
+
+def brute_judge(pages, rules=urls.RULES):
+    def rule_of(host, path):
+        fit = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        return min(fit, key=lambda r: (-len(r.host) - len(r.path), r.verdict != "allow"), default=None)
+
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for _, url, text in pages:
+        if url and "://" in url and text:
+            found = Links()
+            found.feed(text)
+            base = urllib.parse.urljoin(url, found.base) if found.base else url
+            for link in found.links:
+                to = urllib.parse.urljoin(base, link) if link else url
+                if "://" in to:
+                    parent[find(node(url))] = find(node(to))
+    votes = {}
+    for n in list(parent):
+        host, _, path = n.partition("/")
+        r = rule_of(host, "/" + path.partition("?")[0])
+        if r:
+            votes.setdefault(find(n), set()).add(r.verdict)
+    out = []
+    for page_id, url, _ in pages:
+        host, path = split(url)
+        r = rule_of(host, path)
+        by_alias = url and "://" in url and node(url) in parent and votes.get(find(node(url))) == {"block"}
+        out.append((page_id, host, path, r and r.host + r.path, r.verdict if r else "block" if by_alias else "allow"))
+    return out
+
+
+TRICKY = [
+    "<link rel=canonical href='//example.com/de/a'>", '<link rel="canonical" href="../de/a">', '<LINK HREF="http://EXAMPLE.com/de/a" REL="Canonical">', '<link rel="canonical" href="/p?x=1&amp;id=2">',
+    '<link rel="alternate canonical" href="http&#58;&#x2F;/example.com/de/b">', '<meta http-equiv="Refresh" content="5; URL=\'http://example.com/de/c\'">', "<meta http-equiv=refresh content=0;url=http://example.com:80/de/d>",
+    '<base href="http://example.com/de/sub/"><link rel=canonical href="e">', '<link rel="canonical" href="mailto:a@example.com">', '<link rel="canonical" href="">', '<link rel="canonical" href="#part">',
+    '<link rel="canonical" href="http&#58//example.com/de&#x2Fl&amp;#47;">', '<link rel="canonical" href="/q?a=1&lt=2&copy=3&#233;&quot;">',
+    '<link rel="canonical" href="?id=2">', '<link rel="stylesheet" href="http://example.com/de/f">', '<meta name="refresh" content="0;url=http://example.com/de/g">', '<link title="a > b" rel="canonical" href=" http://example.com/de/h ">',
+    '<link rel="canonical" href="./x/../../de/./i/..">', '<link rel="canonical" href="http://example.com">', '<link rel="notcanonical" href="http://example.com/de/j">', "<link rel=canonical", '<link rel="canonical" href="http://a.org/fr/1"><link rel="canonical" href="http://example.com/de/k">',
+]
+
+
+def test_links_as_a_url_parser_resolves_them(spark):
+    pages = [(k, f"http://site{k}.info/x/p?ref=1&id=2", t) for k, t in enumerate(TRICKY)]
+    pages += [(100 + k, f"http://example.com/x{k}/p", t) for k, t in enumerate(TRICKY)]  # relative links that reach /de/
+    pages += [(200 + k, f"HTTPS://Site{k}.info/x/p?ref=1&id=2#top", "") for k in range(len(TRICKY))]
+    # not aliases: another suffix, other marks, a closing slash
+    pages += [(300, "http://site0.info/x/p.html?ref=1&id=2", ""), (301, "http://site0.info/x/p?id=2", ""), (302, "http://site0.info/x/p/?ref=1&id=2", ""), (303, "http://site13.info/x/p?id=2", "")]
+    pages += [(400, "http://long.info/" + "a/" * 30_000, "<p>" * 200_000 + TRICKY[0]), (401, "http://long2.info/", '<meta content="' + "x " * 500_000 + '">' + TRICKY[0]), (402, None, TRICKY[0])]
+    want = sorted(brute_judge(pages), key=str)
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.judge(frame).collect()), key=str)
+    assert got == want
+    verdict = {r[0]: r[4] for r in got}
+    assert all(verdict[k] == "block" for k in (0, 2, 4, 5, 6, 7, 11, 16, 200, 202, 204, 101, 400, 401)) and all(verdict[k] == "allow" for k in (8, 14, 15, 19, 21, 300, 301, 302, 303, 402))
+
+
+def test_hubs_are_dealt_out(spark):
+    edges = [(0, i) for i in range(1, 500)] + [(i, 1000 + i) for i in range(1, 500)]
+    got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "a long, b long"), hub_edges=50).collect()}
+    assert got == dict.fromkeys([0, *range(1, 500), *range(1001, 1500)], 0)
