@@ -24,8 +24,14 @@ HEAD = 65_535
 STEPS = 64
 #: Baum-Welch ends with the round that adds less than this part to the log likelihood (with the priors' part).
 SETTLED = 1e-4
-#: Tokens that a training pass steps through at a time; longer texts hand their messages on from piece to piece.
-PIECE = 512
+#: Tokens, of all sequences together, that a training pass takes at a time; messages are handed on from piece to piece.
+PIECE = 400_000
+#: Steps after which forward probabilities are scaled; a product of so many stays far from the least double.
+RESCALE = 8
+#: Tokens beyond which texts are trained on apart from shorter ones, together, as each of them takes as many steps.
+LONG = 1024
+#: Tasks of a training round for each core; each passes on counts of all classes, so they grow with the cluster and not with the corpus.
+TASKS_PER_CORE = 2
 #: Tokens that the scoring recursion steps through at a time; longer texts are joined exactly from such spans.
 SPAN = 1024
 #: Tokens recursed over together, in scoring and in training.
@@ -116,58 +122,88 @@ def _packed(pieces):
 def expected_counts(model: Model, sequences, into) -> None:
     """Adds the sequences' expected starts, moves and emissions to into (start, moves, emits, log likelihood).
 
-    Messages go on from piece to piece in both directions, so the counts are those of whole sequences; beyond
-    TRAINED_TOGETHER tokens only the messages at the pieces' ends are kept, and each piece's forward pass is made again.
+    Time goes step by step through all sequences at once, longest first, states by states. Probabilities are scaled every
+    RESCALE steps and at the end of each sequence and piece, so the counts are exact. Messages go on from piece to piece in
+    both directions; beyond TRAINED_TOGETHER tokens only the messages at the pieces' ends are kept, and each piece's
+    forward pass is made again.
     """
     import numpy as np
 
     sequences = sorted(sequences, key=len, reverse=True)
     sizes, states = np.array([len(s) for s in sequences]), len(model.start)
-    begin_at = range(0, sizes[0], PIECE)
-
-    def forward(at, before):
-        n = np.searchsorted(-sizes, -at, side="left")
-        classes, alive, begins = _packed([s[at : at + PIECE] for s in sequences[:n]])
-        ahead, scale = np.empty((len(classes), states)), np.empty(len(classes))
-        for t, (b, n) in enumerate(zip(begins, alive)):
+    onward, backward, emits = np.ascontiguousarray(model.moves.T), model.moves, np.ascontiguousarray(model.emits.T)
+    pieces, at = [], 0
+    while at < sizes[0]:
+        n = int(np.searchsorted(-sizes, -at, side="left"))
+        pieces.append((at, n, max(1, PIECE // n)))
+        at += pieces[-1][2]
+
+    def forward(number, before):
+        at, n, length = pieces[number]
+        classes, alive, begins = _packed([s[at : at + length] for s in sequences[:n]])
+        seen = emits.take(classes, axis=1)
+        ahead, scales, last = np.empty(seen.shape), {}, 0
+        for t, (b, n) in enumerate(zip(begins.tolist(), alive.tolist())):
+            a = ahead[:, b : b + n]
             if t:
-                prior = ahead[last : last + n] @ model.moves
+                np.matmul(onward, ahead[:, last : last + n], out=a)
+            elif before is None:
+                a[:] = model.start[:, None]
             else:
-                prior = model.start if before is None else before @ model.moves
-            a = prior * model.emits[classes[b : b + n]]
-            c = a.sum(1)
-            np.divide(a, c[:, None], out=ahead[b : b + n])
-            scale[b : b + n] = c
+                np.matmul(onward, before, out=a)
+            a *= seen[:, b : b + n]
+            if t % RESCALE == RESCALE - 1 or t == length - 1:
+                scales[t] = a.sum(0)
+                a /= scales[t]
             last = b
-        return classes, alive, begins, ahead, scale
+        return classes, alive, begins, ahead, scales, seen
 
     hold = sizes.sum() <= 2 * TRAINED_TOGETHER
     messages, passes = [None], []
-    for at in begin_at:
-        passes.append(forward(at, messages[-1]))
-        _, alive, begins, ahead, _ = passes[-1]
-        going = np.searchsorted(-sizes, -(at + PIECE), side="left")
-        messages.append(ahead[begins[-1] : begins[-1] + going].copy())
-        if not hold and at != begin_at[-1]:
-            passes[-1] = None
-    back = np.ones((len(sequences), states))
-    for number in reversed(range(len(passes))):
-        classes, alive, begins, ahead, scale = passes.pop() or forward(begin_at[number], messages[number])
-        into[3] += np.log10(scale).sum()
-        for t in range(len(alive) - 1, -1, -1):
-            b, n = begins[t], alive[t]
-            here = slice(b, b + n)
-            before = ahead[begins[t - 1] : begins[t - 1] + n] if t else messages[number]
-            beta = back[:n].copy()
-            if t or number:
-                seen = model.emits[classes[here]] * beta / scale[here, None]
-                into[1] += model.moves * (before.T @ seen)
-                back[:n] = seen @ model.moves.T
-            ahead[here] *= beta
-            if not t and not number:
-                into[0] += ahead[here].sum(0)
+    for number in range(len(pieces)):
+        _, _, begins, ahead, _, _ = made = forward(number, messages[-1])
+        going = pieces[number + 1][1] if number + 1 < len(pieces) else 0
+        messages.append(ahead[:, begins[-1] : begins[-1] + going].copy())
+        passes.append(made[:5] if hold or not going else None)
+    later, moved = np.empty((states, 0)), np.zeros((states, states))
+    for number in reversed(range(len(pieces))):
+        kept = passes.pop()
+        classes, alive, begins, ahead, scales, seen = (*kept, emits.take(kept[0], axis=1)) if kept else forward(number, messages[number])
+        at, n, length = pieces[number]
+        ends = begins[np.minimum(sizes[:n] - at, length) - 1] + np.arange(n)
+        totals = ahead[:, ends].sum(0)
+        into[3] += sum(np.log10(c).sum() for c in scales.values()) + np.log10(totals).sum()
+        behind = np.empty(ahead.shape)
+        starts, counts = begins.tolist(), alive.tolist()
+        # seen becomes what a step passes back: emission times all that follows, scaled as ahead is
+        for t in range(len(counts) - 1, -1, -1):
+            b, n = starts[t], counts[t]
+            beta = behind[:, b : b + n]
+            if t + 1 < len(counts):
+                going = counts[t + 1]
+                np.matmul(backward, seen[:, starts[t + 1] : starts[t + 1] + going], out=beta[:, :going])
+            else:
+                going = later.shape[1]
+                beta[:, :going] = later
+            if going < n:
+                beta[:, going:] = 1 / totals[going:n]
+            passed = seen[:, b : b + n]
+            passed *= beta
+            if t in scales:
+                passed /= scales[t]
+        n = counts[0]
+        if number:
+            moved += messages[number] @ seen[:, :n].T
+            later = backward @ seen[:, :n]
+        # each token but a piece's first ones comes after the token as many places before it as went on to it
+        before = np.arange(n, len(classes)) - np.repeat(alive[:-1], alive[1:])
+        moved += ahead.take(before, axis=1) @ seen[:, n:].T
+        ahead *= behind
+        if not number:
+            into[0] += ahead[:, :n].sum(1)
         for k in range(states):
-            into[2][:, k] += np.bincount(classes, weights=ahead[:, k], minlength=len(into[2]))
+            into[2][:, k] += np.bincount(classes, weights=ahead[k], minlength=len(into[2]))
+    into[1] += model.moves * moved
 
 
 def log_likelihoods(model: Model, sequences):
@@ -211,18 +247,26 @@ def log_likelihoods(model: Model, sequences):
     return out
 
 
-def most_frequent(words: DataFrame, most: int) -> dict[bytes, int]:
-    """Words of (word, n) and their counts: as many whole steps of frequency, from the top, as have no more than most words."""
-    step = F.floor(F.log2("n") * STEPS).cast("int")
+def _whole_steps(words: DataFrame, step, most: int, descending: bool = False):
+    """(the last step that still fits or None, words taken): as many whole steps, in order, as have no more than most words."""
     sizes = dict(words.groupBy(step.alias("step")).count().collect())
-    lowest, taken = None, 0
-    for k in sorted(sizes, reverse=True):
+    last, taken = None, 0
+    for k in sorted(sizes, reverse=descending):
         if taken + sizes[k] > most:
             break
-        lowest, taken = k, taken + sizes[k]
-    if lowest is None:
-        return {}
-    return {bytes(r.word): r.n for r in words.where(step >= lowest).collect()}
+        last, taken = k, taken + sizes[k]
+    return last, taken, next((k for k in sorted(sizes, reverse=descending) if last is None or (k < last if descending else k > last)), None)
+
+
+def most_frequent(words: DataFrame, most: int) -> dict[bytes, int]:
+    """Words of (word, n) and their counts, no more than most: whole steps of frequency from the top, and of the step that no longer fits the words of lowest hash."""
+    step, cell = F.floor(F.log2("n") * STEPS).cast("int"), F.shiftrightunsigned(F.xxhash64("word"), 48).cast("int")
+    lowest, taken, following = _whole_steps(words, step, most, descending=True)
+    chosen = F.lit(False) if lowest is None else step >= lowest
+    if following is not None and taken < most:
+        upto, _, _ = _whole_steps(words.where(step == following), cell, most - taken)
+        chosen = chosen if upto is None else chosen | (step == following) & (cell <= upto)
+    return {bytes(r.word): r.n for r in words.where(chosen).collect()}
 
 
 def _class_type(classes: int):
@@ -247,6 +291,24 @@ def _batched(batches, column: int, kind, together: int):
         yield rows
 
 
+def _training_batches(batches, kind):
+    """Lists of stored sequences, about TRAINED_TOGETHER tokens in each; those of over LONG tokens come by themselves."""
+    import numpy as np
+
+    lists, held = {False: [], True: []}, {False: 0, True: 0}
+    for batch in batches:
+        for stored in batch.column(0):
+            s = np.frombuffer(stored.as_buffer(), kind)
+            long = len(s) > LONG
+            # a copy, so that a long text kept back does not keep its batch
+            lists[long].append(s.copy() if long else s)
+            held[long] += len(s)
+            if held[long] > TRAINED_TOGETHER:
+                yield lists[long]
+                lists[long], held[long] = [], 0
+    yield from (some for some in lists.values() if some)
+
+
 def _prior(model: Model, frequencies) -> float:
     """log10 of the priors' density at a model, but for a constant: what Baum-Welch raises is this with the log likelihood."""
     import numpy as np
@@ -264,7 +326,7 @@ def baum_welch(sequences: DataFrame, frequencies, states: int = STATES, settled:
     common.small_batches(spark)
     model, size = first_model(frequencies, states), len(frequencies)
     names = [f"s{k}" for k in range(states)]
-    kind = _class_type(size)
+    kind, tasks = _class_type(size), TASKS_PER_CORE * max(1, spark.sparkContext.defaultParallelism)
     reached: list[float] = []
     while len(reached) < 2 or reached[-1] - reached[-2] > settled * abs(reached[-1]):
         sent = spark.sparkContext.broadcast(model)
@@ -272,15 +334,15 @@ def baum_welch(sequences: DataFrame, frequencies, states: int = STATES, settled:
         def run(batches, sent=sent):
             model = sent.value
             into = [np.zeros(states), np.zeros((states, states)), np.zeros((size, states)), 0.0]
-            for rows in _batched(batches, 0, kind, TRAINED_TOGETHER):
-                expected_counts(model, [s for _, _, s in rows], into)
+            for some in _training_batches(batches, kind):
+                expected_counts(model, some, into)
             # rows from size on are the moves, the start and the log likelihood
-            table = np.vstack([into[2], into[1], into[0], np.eye(1, states) * into[3]]).astype(np.float32)
+            table = np.vstack([into[2], into[1], into[0], np.eye(1, states) * into[3]])
             kept = np.flatnonzero(table.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), *(pa.array(table[kept, k]) for k in range(states))], names=["class", *names])
 
-        schema = "class long, " + ", ".join(f"{n} float" for n in names)
-        got = sequences.select("classes").mapInArrow(run, schema).groupBy("class").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
+        schema = "class long, " + ", ".join(f"{n} double" for n in names)
+        got = sequences.select("classes").coalesce(tasks).mapInArrow(run, schema).groupBy("class").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
         sums = np.zeros((size + states + 2, states))
         sums[got.column("class").to_numpy()] = np.column_stack([got.column(n).to_numpy() for n in names])
         sent.unpersist()
@@ -299,7 +361,7 @@ def baum_welch(sequences: DataFrame, frequencies, states: int = STATES, settled:
 
 def classified(frame: DataFrame, head: list[bytes], counts) -> DataFrame:
     """Stores the rows of (doc_id, text, learned) as sequences of classes, with what is left of each text for the join of rare words:
-    (doc_id, mark, learned, classes, n_tokens, n_known, base, rare, times). counts are those of head; base is of it alone, not yet normed."""
+    (doc_id, row, learned, classes, n_tokens, n_known, base, rare, times). row tells repeated rows apart. counts are those of head; base is of it alone, not yet normed."""
     import numpy as np
 
     sent = frame.sparkSession.sparkContext.broadcast((head, counts))
@@ -309,7 +371,7 @@ def classified(frame: DataFrame, head: list[bytes], counts) -> DataFrame:
         classes, size = {w: i for i, w in enumerate(head)}, len(head)
         kind = _class_type(size + 1)
         logs, known = np.append(np.log10(counts + 1), 0.0), np.append(counts > 0, False)
-        kinds = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("learned", pa.bool_()), ("classes", pa.binary()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int32()))])
+        kinds = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("learned", pa.bool_()), ("classes", pa.binary()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int32()))])
         for batch in batches:
             rows, held = [], 0
             ids, marks, learned = (batch.column(k).to_pylist() for k in range(3))
@@ -325,33 +387,34 @@ def classified(frame: DataFrame, head: list[bytes], counts) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds.types)], schema=kinds)
 
-    made = frame.select("doc_id", F.xxhash64("text").alias("mark"), "learned", "text").mapInArrow(
-        run, "doc_id long, mark long, learned boolean, classes binary, n_tokens long, n_known long, base double, rare array<binary>, times array<int>"
+    made = frame.select("doc_id", F.monotonically_increasing_id().alias("row"), "learned", "text").mapInArrow(
+        run, "doc_id long, row long, learned boolean, classes binary, n_tokens long, n_known long, base double, rare array<binary>, times array<int>"
     )
     return common.cut(made, "sequences")
 
 
 def _likelihoods(sequences: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, mark, n_tokens, n_known, base, model) of stored sequences."""
+    """(doc_id, row, n_tokens, n_known, base, model) of stored sequences."""
     sent, kind = sequences.sparkSession.sparkContext.broadcast(model), _class_type(len(model.emits))
 
     def run(batches):
-        names = ["doc_id", "mark", "n_tokens", "n_known", "base"]
+        names = ["doc_id", "row", "n_tokens", "n_known", "base"]
         for rows in _batched(batches, 5, kind, TOGETHER):
             found = pa.array(log_likelihoods(sent.value, [s for _, _, s in rows]), pa.float64())
             kept = [pa.array([batch.column(k)[number].as_py() for batch, number, _ in rows], pa.float64() if k == 4 else pa.int64()) for k in range(5)]
             yield pa.RecordBatch.from_arrays([*kept, found], names=[*names, "model"])
 
-    return sequences.select("doc_id", "mark", "n_tokens", "n_known", "base", "classes").mapInArrow(run, "doc_id long, mark long, n_tokens long, n_known long, base double, model double")
+    return sequences.select("doc_id", "row", "n_tokens", "n_known", "base", "classes").mapInArrow(run, "doc_id long, row long, n_tokens long, n_known long, base double, model double")
 
 
 def score(docs: DataFrame, learn, states: int = STATES, head_words: int = HEAD) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each pair of doc_id and text.
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of docs.
 
     Learns from the rows where the condition learn holds. base_score is the smoothed unigram log10 probability and
     score the model's. A null or empty text is the end alone; null doc_ids are kept; rows repeated with id and text
-    give one row (but count each in training); an empty table gives an empty one; without training rows every
-    word has the same probability; other columns are ignored.
+    give a row each and count each in training; an empty table gives an empty one; without training rows every
+    word has the same probability; other columns are ignored. Words of equal counts that no longer all fit the
+    vocabulary are taken by hash. Long texts are gone through in pieces that hand on their messages.
     """
     import numpy as np
 
@@ -370,27 +433,21 @@ def score(docs: DataFrame, learn, states: int = STATES, head_words: int = HEAD)
     sequences = classified(frame, head, counts)
     model = baum_welch(sequences.where("learned"), every / every.sum(), states)
     whole, rare = float(np.log10(n_all + n_distinct + 1)), float(np.log10(rare_tokens + rare_words + 1))
-    none = F.lit(None)
     rares = (
-        sequences.select("doc_id", "mark", F.explode(F.arrays_zip("rare", "times")).alias("r"))
-        .select("doc_id", "mark", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
+        sequences.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r"))
+        .select("row", F.col("r.rare").alias("word"), F.col("r.times").cast("long").alias("times"))
         .join(words, "word", "left")
-        .select("doc_id", "mark", (F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("logs"), F.col("times").cast("long").alias("rares"), F.when(F.col("n") > 0, F.col("times")).otherwise(0).cast("long").alias("rare_known"))
+        .select("row", (F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("logs"), F.col("times").alias("rares"), F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("rare_known"))
     )
-    texts = _likelihoods(sequences, model).select("*", none.cast("double").alias("logs"), none.cast("long").alias("rares"), none.cast("long").alias("rare_known"))
-    both = texts.unionByName(rares, allowMissingColumns=True).groupBy("doc_id", "mark")
-    # rows repeated with id and text brought their rare words as often
-    per = lambda name: F.coalesce(F.sum(name), F.lit(0)) / F.count("n_tokens")
-    return (
-        both.agg(F.max("n_tokens").alias("n_tokens"), F.max("n_known").alias("n_known"), F.max("base").alias("base"), F.max("model").alias("model"), per("logs").alias("logs"), per("rares").alias("rares"), per("rare_known").alias("rare_known"))
-        .select(
-            "doc_id",
-            "n_tokens",
-            (F.col("n_known") + F.col("rare_known").cast("long")).alias("n_known"),
-            F.lit(int(n_all)).cast("long").alias("train_tokens"),
-            (F.col("base") + F.col("logs") - F.col("n_tokens") * F.lit(whole)).alias("base_score"),
-            (F.col("model") + F.col("logs") - F.col("rares") * F.lit(rare)).alias("score"),
-        )
+    both = _likelihoods(sequences, model).unionByName(rares, allowMissingColumns=True).groupBy("row")
+    total = lambda name: F.coalesce(F.sum(name), F.lit(0)).alias(name)
+    return both.agg(*(F.max(n).alias(n) for n in ("doc_id", "n_tokens", "n_known", "base", "model")), total("logs"), total("rares"), total("rare_known")).select(
+        "doc_id",
+        "n_tokens",
+        (F.col("n_known") + F.col("rare_known")).alias("n_known"),
+        F.lit(int(n_all)).cast("long").alias("train_tokens"),
+        (F.col("base") + F.col("logs") - F.col("n_tokens") * F.lit(whole)).alias("base_score"),
+        (F.col("model") + F.col("logs") - F.col("rares") * F.lit(rare)).alias("score"),
     )
 
 
