@@ -36,6 +36,8 @@ TASKS_PER_CORE = 2
 SPAN = 1024
 #: Tokens recursed over together, in scoring and in training.
 TOGETHER, TRAINED_TOGETHER = 200_000, 1_500_000
+#: Tables of expected counts that one task, or the driver, adds up.
+FAN = 8
 #: Entries of a task's word counts before they are passed on.
 COUNTS = 400_000
 #: Weight of the corpus frequencies in each state's emissions, in tokens; and of every move and start.
@@ -317,44 +319,61 @@ def _prior(model: Model, frequencies) -> float:
     return float(emits + MOVE_PRIOR * (np.log10(model.moves).sum() + np.log10(model.start).sum()))
 
 
+def _added(table: DataFrame, rows: int):
+    """The sum of stored rows (sums: doubles), FAN of them in a task until the driver can take the rest; None without rows."""
+    import numpy as np
+
+    def add(batches):
+        total = None
+        for batch in batches:
+            for stored in batch.column(0):
+                some = np.frombuffer(stored.as_buffer())
+                total = some.copy() if total is None else total + some
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    while rows > FAN:
+        rows = -(-rows // FAN)
+        merged = common.cut(table.coalesce(rows).mapInArrow(add, "sums binary"), "sums")
+        common.drop_scratch(table)
+        table = merged
+    found = [np.frombuffer(x.as_buffer()) for x in table.toArrow().column(0)]
+    common.drop_scratch(table)
+    return np.sum(found, axis=0) if found else None
+
+
 def baum_welch(sequences: DataFrame, frequencies, states: int = STATES, settled: float = SETTLED) -> Model:
     """Trains on all of sequences (classes), as classified() stores them, in every round, until a round adds less than the part settled
-    to the log likelihood. Each round's expected counts are summed within tasks, then across them by class. The model has what each round began with as reached."""
+    to the log likelihood. Each round's expected counts are summed within tasks, stored, and added up in a tree of few tasks. The model has
+    what each round began with as reached."""
     import numpy as np
 
     spark = sequences.sparkSession
     common.small_batches(spark)
     model, size = first_model(frequencies, states), len(frequencies)
-    names = [f"s{k}" for k in range(states)]
     kind, tasks = _class_type(size), TASKS_PER_CORE * max(1, spark.sparkContext.defaultParallelism)
     reached: list[float] = []
     while len(reached) < 2 or reached[-1] - reached[-2] > settled * abs(reached[-1]):
         sent = spark.sparkContext.broadcast(model)
 
         def run(batches, sent=sent):
-            model = sent.value
             into = [np.zeros(states), np.zeros((states, states)), np.zeros((size, states)), 0.0]
             for some in _training_batches(batches, kind):
-                expected_counts(model, some, into)
-            # rows from size on are the moves, the start and the log likelihood
-            table = np.vstack([into[2], into[1], into[0], np.eye(1, states) * into[3]])
-            kept = np.flatnonzero(table.any(1))
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), *(pa.array(table[kept, k]) for k in range(states))], names=["class", *names])
-
-        schema = "class long, " + ", ".join(f"{n} double" for n in names)
-        got = sequences.select("classes").coalesce(tasks).mapInArrow(run, schema).groupBy("class").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
-        sums = np.zeros((size + states + 2, states))
-        sums[got.column("class").to_numpy()] = np.column_stack([got.column(n).to_numpy() for n in names])
-        sent.unpersist()
-        if not sums.any():
+                expected_counts(sent.value, some, into)
+            if into[0].any():
+                sums = np.concatenate([into[2].ravel(), into[1].ravel(), into[0], [into[3]]])
+                yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
+
+        stored = common.cut(sequences.select("classes").coalesce(tasks).mapInArrow(run, "sums binary"), "sums")
+        sums = _added(stored, tasks)
+        sent.destroy()
+        if sums is None:
             break
-        reached.append(sums[-1, 0] + _prior(model, frequencies))
-        emits = sums[:size] + PRIOR * frequencies[:, None]
-        moves = sums[size : size + states] + MOVE_PRIOR
-        begin = sums[-2] + MOVE_PRIOR
+        reached.append(sums[-1] + _prior(model, frequencies))
+        emits = sums[: size * states].reshape(size, states) + PRIOR * frequencies[:, None]
+        moves = sums[size * states : (size + states) * states].reshape(states, states) + MOVE_PRIOR
+        begin = sums[-1 - states : -1] + MOVE_PRIOR
         model = Model(begin / begin.sum(), moves / moves.sum(1, keepdims=True), emits / emits.sum(0))
-        # past rounds' shuffle files go with their frames
-        spark._jvm.System.gc()
     model.reached = reached
     return model
 
