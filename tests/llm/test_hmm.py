@@ -35,12 +35,12 @@ def test_forward_over_all_paths_and_spans(monkeypatch):
     draw = np.random.default_rng(2)
     some = [draw.integers(0, 5, n) for n in (1, 4, 7, 6, 2)]
     assert np.allclose(hmm.log_likelihoods(model, some), [brute_log(model, s) for s in some])
-    monkeypatch.setattr(hmm, "SPAN", 2)
+    monkeypatch.setattr(hmm, "PIECE", 2)
     assert np.allclose(hmm.log_likelihoods(model, some), [brute_log(model, s) for s in some])
-    monkeypatch.setattr(hmm, "SPAN", 64)
+    monkeypatch.setattr(hmm, "PIECE", 64)
     long = draw.integers(0, 5, 5000)
     whole = hmm.log_likelihoods(model, [long])
-    monkeypatch.setattr(hmm, "SPAN", 10_000)
+    monkeypatch.setattr(hmm, "PIECE", 10_000)
     assert np.allclose(whole, hmm.log_likelihoods(model, [long]))
 
 

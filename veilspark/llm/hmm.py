@@ -25,16 +25,14 @@ STEPS = 64
 #: Baum-Welch ends with the round that adds less than this part to the log likelihood (with the priors' part).
 SETTLED = 1e-4
 #: Tokens, of all sequences together, that a training pass takes at a time; messages are handed on from piece to piece.
-PIECE = 400_000
+PIECE = 200_000
 #: Steps after which forward probabilities are scaled; a product of so many stays far from the least double.
 RESCALE = 8
 #: Tokens beyond which texts are trained on apart from shorter ones, together, as each of them takes as many steps.
 LONG = 1024
 #: Tasks of a training round for each core; each passes on counts of all classes, so they grow with the cluster and not with the corpus.
 TASKS_PER_CORE = 2
-#: Tokens that the scoring recursion steps through at a time; longer texts are joined exactly from such spans.
-SPAN = 1024
-#: Tokens recursed over together, in scoring and in training.
+#: Tokens of a batch of classified texts; and of texts recursed over together, in scoring and in training (twice as many of long ones).
 TOGETHER, TRAINED_TOGETHER = 200_000, 1_500_000
 #: Tables of expected counts that one task, or the driver, adds up.
 FAN = 8
@@ -94,20 +92,6 @@ def first_model(frequencies, states: int = STATES) -> Model:
     return Model(np.full(states, 1 / states), moves / moves.sum(1, keepdims=True), emits / emits.sum(0))
 
 
-def _columns(sequences):
-    """Sequences, longest first, as (order, matrix by time, how many go on at each time)."""
-    import numpy as np
-
-    sizes = np.array([len(s) for s in sequences])
-    order = np.argsort(-sizes, kind="stable")
-    sizes = sizes[order]
-    table = np.zeros((sizes[0], len(sizes)), np.int32)
-    for k, i in enumerate(order):
-        table[: sizes[k], k] = sequences[i]
-    alive = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
-    return order, table, alive
-
-
 def _packed(pieces):
     """Pieces, longest first, as (classes, how many go on at each time, where each time begins): time by time, without gaps."""
     import numpy as np
@@ -121,38 +105,40 @@ def _packed(pieces):
     return classes, alive, begins
 
 
-def expected_counts(model: Model, sequences, into) -> None:
-    """Adds the sequences' expected starts, moves and emissions to into (start, moves, emits, log likelihood).
+class _Forward:
+    """The scaled forward recursion over sequences, step by step through all of them at once, longest first, states by states.
 
-    Time goes step by step through all sequences at once, longest first, states by states. Probabilities are scaled every
-    RESCALE steps and at the end of each sequence and piece, so the counts are exact. Messages go on from piece to piece in
-    both directions; beyond TRAINED_TOGETHER tokens only the messages at the pieces' ends are kept, and each piece's
-    forward pass is made again.
+    It goes in pieces of about PIECE tokens. Probabilities are scaled every RESCALE steps and at the end of each piece.
     """
-    import numpy as np
 
-    sequences = sorted(sequences, key=len, reverse=True)
-    sizes, states = np.array([len(s) for s in sequences]), len(model.start)
-    onward, backward, emits = np.ascontiguousarray(model.moves.T), model.moves, np.ascontiguousarray(model.emits.T)
-    pieces, at = [], 0
-    while at < sizes[0]:
-        n = int(np.searchsorted(-sizes, -at, side="left"))
-        pieces.append((at, n, max(1, PIECE // n)))
-        at += pieces[-1][2]
-
-    def forward(number, before):
-        at, n, length = pieces[number]
-        classes, alive, begins = _packed([s[at : at + length] for s in sequences[:n]])
-        seen = emits.take(classes, axis=1)
+    def __init__(self, model: Model, sequences):
+        import numpy as np
+
+        self.model, self.sequences = model, sequences
+        self.sizes = np.array([len(s) for s in sequences])
+        self.onward, self.emits = np.ascontiguousarray(model.moves.T), np.ascontiguousarray(model.emits.T)
+        self.pieces, at = [], 0
+        while at < self.sizes[0]:
+            n = int(np.searchsorted(-self.sizes, -at, side="left"))
+            self.pieces.append((at, n, max(1, PIECE // n)))
+            at += self.pieces[-1][2]
+
+    def piece(self, number: int, before):
+        """(classes, alive, begins, forward probabilities, scales by step, emission probabilities) of a piece, after the last probabilities of the one before."""
+        import numpy as np
+
+        at, n, length = self.pieces[number]
+        classes, alive, begins = _packed([s[at : at + length] for s in self.sequences[:n]])
+        seen = self.emits.take(classes, axis=1)
         ahead, scales, last = np.empty(seen.shape), {}, 0
         for t, (b, n) in enumerate(zip(begins.tolist(), alive.tolist())):
             a = ahead[:, b : b + n]
             if t:
-                np.matmul(onward, ahead[:, last : last + n], out=a)
+                np.matmul(self.onward, ahead[:, last : last + n], out=a)
             elif before is None:
-                a[:] = model.start[:, None]
+                a[:] = self.model.start[:, None]
             else:
-                np.matmul(onward, before, out=a)
+                np.matmul(self.onward, before, out=a)
             a *= seen[:, b : b + n]
             if t % RESCALE == RESCALE - 1 or t == length - 1:
                 scales[t] = a.sum(0)
@@ -160,20 +146,40 @@ def expected_counts(model: Model, sequences, into) -> None:
             last = b
         return classes, alive, begins, ahead, scales, seen
 
-    hold = sizes.sum() <= 2 * TRAINED_TOGETHER
+    def message(self, number: int, begins, ahead):
+        """The last probabilities of the sequences that go on after a piece."""
+        going = self.pieces[number + 1][1] if number + 1 < len(self.pieces) else 0
+        return ahead[:, begins[-1] : begins[-1] + going].copy()
+
+    def totals(self, number: int, begins, ahead):
+        """The sum of probabilities at each sequence's last step in a piece: 1 where it goes on."""
+        import numpy as np
+
+        at, n, length = self.pieces[number]
+        return ahead[:, begins[np.minimum(self.sizes[:n] - at, length) - 1] + np.arange(n)].sum(0)
+
+
+def expected_counts(model: Model, sequences, into) -> None:
+    """Adds the sequences' expected starts, moves and emissions to into (start, moves, emits, log likelihood).
+
+    The counts are exact: messages go on from piece to piece in both directions. Beyond twice TRAINED_TOGETHER tokens only the
+    messages at the pieces' ends are kept, and each piece's forward pass is made again.
+    """
+    import numpy as np
+
+    states, backward = len(model.start), model.moves
+    way = _Forward(model, sorted(sequences, key=len, reverse=True))
+    hold = way.sizes.sum() <= 2.2 * TRAINED_TOGETHER
     messages, passes = [None], []
-    for number in range(len(pieces)):
-        _, _, begins, ahead, _, _ = made = forward(number, messages[-1])
-        going = pieces[number + 1][1] if number + 1 < len(pieces) else 0
-        messages.append(ahead[:, begins[-1] : begins[-1] + going].copy())
-        passes.append(made[:5] if hold or not going else None)
+    for number in range(len(way.pieces)):
+        made = way.piece(number, messages[-1])
+        messages.append(way.message(number, made[2], made[3]))
+        passes.append(made[:5] if hold or number + 1 == len(way.pieces) else None)
     later, moved = np.empty((states, 0)), np.zeros((states, states))
-    for number in reversed(range(len(pieces))):
+    for number in reversed(range(len(way.pieces))):
         kept = passes.pop()
-        classes, alive, begins, ahead, scales, seen = (*kept, emits.take(kept[0], axis=1)) if kept else forward(number, messages[number])
-        at, n, length = pieces[number]
-        ends = begins[np.minimum(sizes[:n] - at, length) - 1] + np.arange(n)
-        totals = ahead[:, ends].sum(0)
+        classes, alive, begins, ahead, scales, seen = (*kept, way.emits.take(kept[0], axis=1)) if kept else way.piece(number, messages[number])
+        totals = way.totals(number, begins, ahead)
         into[3] += sum(np.log10(c).sum() for c in scales.values()) + np.log10(totals).sum()
         behind = np.empty(ahead.shape)
         starts, counts = begins.tolist(), alive.tolist()
@@ -209,43 +215,20 @@ def expected_counts(model: Model, sequences, into) -> None:
 
 
 def log_likelihoods(model: Model, sequences):
-    """log10 of the probability of each sequence of classes, exactly, by the scaled forward recursion.
-
-    A long sequence's later spans are recursed over from every state at once, and joined by their scales.
-    """
+    """log10 of the probability of each sequence of classes, exactly, by the scaled forward recursion."""
     import numpy as np
 
-    states = len(model.start)
-    spans, owner, first = [], [], []
-    for i, s in enumerate(sequences):
-        for at in range(0, len(s), SPAN):
-            for k in range(states if at else 1):
-                spans.append(s[at : at + SPAN])
-                owner.append(i)
-                first.append(k if at else -1)
-    order, table, alive = _columns(spans)
-    begin = np.vstack([model.moves, model.start])[np.array(first)[order]]  # -1 is the start's row
-    a, logs = np.empty((len(spans), states)), np.zeros(len(spans))
-    for t in range(len(table)):
-        n = alive[t]
-        x = (begin if t == 0 else a[:n] @ model.moves) * model.emits[table[t, :n]]
-        c = x.sum(1)
-        a[:n] = x / c[:, None]
-        logs[:n] += np.log10(c)
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
-    a, logs = a[back], logs[back]
-    out, at = np.zeros(len(sequences)), 0
-    while at < len(spans):
-        i, now, total = owner[at], a[at], logs[at]
-        at += 1
-        while at < len(spans) and owner[at] == i:
-            some = logs[at : at + states]
-            top = some.max()
-            joined = (now * 10.0 ** (some - top)) @ a[at : at + states]
-            now, total = joined / joined.sum(), total + top + np.log10(joined.sum())
-            at += states
-        out[i] = total
+    order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
+    way = _Forward(model, [sequences[i] for i in order])
+    logs, before = np.zeros(len(order)), None
+    for number, (_, n, _) in enumerate(way.pieces):
+        _, _, begins, ahead, scales, _ = way.piece(number, before)
+        for c in scales.values():
+            logs[: len(c)] += np.log10(c)
+        logs[:n] += np.log10(way.totals(number, begins, ahead))
+        before = way.message(number, begins, ahead)
+    out = np.empty(len(order))
+    out[order] = logs
     return out
 
 
@@ -277,35 +260,23 @@ def _class_type(classes: int):
     return np.uint16 if classes <= 1 << 16 else np.int32
 
 
-def _batched(batches, column: int, kind, together: int):
-    """(batch and row number, classes) of stored sequences, about so many tokens together."""
-    import numpy as np
+def _together(batches, kind, columns: int = 0):
+    """Lists of (values of the first columns, classes in the next one) of stored rows, about TRAINED_TOGETHER tokens in each.
 
-    rows, held = [], 0
-    for batch in batches:
-        for number, stored in enumerate(batch.column(column)):
-            rows.append((batch, number, np.frombuffer(stored.as_buffer(), kind)))
-            held += len(rows[-1][2])
-            if held > together:
-                yield rows
-                rows, held = [], 0
-    if rows:
-        yield rows
-
-
-def _training_batches(batches, kind):
-    """Lists of stored sequences, about TRAINED_TOGETHER tokens in each; those of over LONG tokens come by themselves."""
+    Texts of over LONG tokens come by themselves, twice as many: each of them takes as many steps as it has tokens.
+    """
     import numpy as np
 
     lists, held = {False: [], True: []}, {False: 0, True: 0}
     for batch in batches:
-        for stored in batch.column(0):
+        values = list(zip(*(batch.column(k).to_pylist() for k in range(columns)))) or [()] * batch.num_rows
+        for own, stored in zip(values, batch.column(columns)):
             s = np.frombuffer(stored.as_buffer(), kind)
             long = len(s) > LONG
             # a copy, so that a long text kept back does not keep its batch
-            lists[long].append(s.copy() if long else s)
+            lists[long].append((own, s.copy() if long else s))
             held[long] += len(s)
-            if held[long] > TRAINED_TOGETHER:
+            if held[long] > TRAINED_TOGETHER * (1 + long):
                 yield lists[long]
                 lists[long], held[long] = [], 0
     yield from (some for some in lists.values() if some)
@@ -358,8 +329,8 @@ def baum_welch(sequences: DataFrame, frequencies, states: int = STATES, settled:
 
         def run(batches, sent=sent):
             into = [np.zeros(states), np.zeros((states, states)), np.zeros((size, states)), 0.0]
-            for some in _training_batches(batches, kind):
-                expected_counts(sent.value, some, into)
+            for some in _together(batches, kind):
+                expected_counts(sent.value, [s for _, s in some], into)
             if into[0].any():
                 sums = np.concatenate([into[2].ravel(), into[1].ravel(), into[0], [into[3]]])
                 yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
@@ -417,11 +388,11 @@ def _likelihoods(sequences: DataFrame, model: Model) -> DataFrame:
     sent, kind = sequences.sparkSession.sparkContext.broadcast(model), _class_type(len(model.emits))
 
     def run(batches):
-        names = ["doc_id", "row", "n_tokens", "n_known", "base"]
-        for rows in _batched(batches, 5, kind, TOGETHER):
-            found = pa.array(log_likelihoods(sent.value, [s for _, _, s in rows]), pa.float64())
-            kept = [pa.array([batch.column(k)[number].as_py() for batch, number, _ in rows], pa.float64() if k == 4 else pa.int64()) for k in range(5)]
-            yield pa.RecordBatch.from_arrays([*kept, found], names=[*names, "model"])
+        kinds = [pa.int64()] * 4 + [pa.float64()]
+        for some in _together(batches, kind, 5):
+            found = pa.array(log_likelihoods(sent.value, [s for _, s in some]), pa.float64())
+            kept = [pa.array(x, k) for x, k in zip(zip(*(own for own, _ in some)), kinds)]
+            yield pa.RecordBatch.from_arrays([*kept, found], names=["doc_id", "row", "n_tokens", "n_known", "base", "model"])
 
     return sequences.select("doc_id", "row", "n_tokens", "n_known", "base", "classes").mapInArrow(run, "doc_id long, row long, n_tokens long, n_known long, base double, model double")
 
