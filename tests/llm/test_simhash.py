@@ -85,3 +85,83 @@ def test_documents(spark):
     got = [tuple(r) for r in simhash.near_duplicates(frame).collect()]
     assert sorted(got, key=str) == sorted([(d, f"{fp:016x}", c) for d, fp, c in want], key=str)
     assert simhash.near_duplicates(frame.limit(0)).count() == 0
+
+
+def reached_by(fps):
+    """The component of each fingerprint, by trying all pairs."""
+    parent = {f: f for f in fps}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    array = np.array(sorted(fps), np.uint64)
+    for k, f in enumerate(array):
+        for g in array[k + 1 :][np.bitwise_count(array[k + 1 :] ^ f) <= simhash.DISTANCE]:
+            parent[find(int(g))] = find(int(f))
+    groups = {}
+    for f in fps:
+        groups.setdefault(find(f), set()).add(f)
+    return sorted(map(sorted, groups.values()))
+
+
+def as_signed(f):
+    return f - (1 << 64) if f >> 63 else f
+
+
+def test_oversized_buckets_are_split(spark):
+    from veilspark.llm import common
+
+    draw = np.random.default_rng(3)
+    base = int(draw.integers(0, 1 << 62))
+    fps = set()
+    # two segments alike and the third free, and each segment with a few flips: buckets of very many rows
+    for low, bits in simhash.SEGMENTS:
+        fps |= {base & ~(((1 << bits) - 1) << low) | int(x) << low for x in draw.integers(0, 1 << bits, 500)}
+    fps |= {f ^ (1 << int(draw.integers(0, 64))) ^ (1 << int(draw.integers(0, 64))) for f in list(fps)[::3]}
+    fps |= {int(x) for x in draw.integers(0, 1 << 63, 300)}
+    frame = spark.createDataFrame([(as_signed(f),) for f in fps], "fp long")
+    for limit in (5, 64, 10_000):
+        groups = {}
+        for r in common.connected_components(simhash.links(frame, limit)).collect():
+            groups.setdefault(r.component, set()).add(r.node & (1 << 64) - 1)
+        assert sorted(map(sorted, groups.values())) == [g for g in reached_by(fps) if len(g) > 1]
+
+
+def test_further_keys_lose_no_pair():
+    draw = np.random.default_rng(4)
+    x = draw.integers(0, 1 << 63, 400).astype(np.uint64)
+    y = x.copy()
+    for k in range(3):
+        y[k:] ^= np.uint64(1) << draw.integers(0, 64, len(y) - k).astype(np.uint64)
+    for a, b in zip(x, y):
+        pair = np.array([a, b], np.uint64)
+        rows, found = simhash.keys(pair)
+        shared = [k for k in set(found[rows == 0]) & set(found[rows == 1])]
+        assert shared
+        met = False
+        for key in shared:
+            numbers, subs = simhash.further_keys(np.array([key, key]), pair)
+            met |= bool(set(subs[numbers == 0]) & set(subs[numbers == 1]))
+            numbers, subs = simhash.quarter_keys(np.array([key, key]), pair)
+            assert set(subs[numbers == 0]) & set(subs[numbers == 1])
+        assert met
+
+
+def test_one_very_large_bucket(spark):
+    """A hundred thousand fingerprints that share two segments."""
+    low, bits = simhash.SEGMENTS[2]
+    values = np.random.default_rng(6).choice(1 << bits, 100_000, replace=False)
+    frame = spark.createDataFrame([(as_signed(int(v) << low | 12345),) for v in values], "fp long")
+    from veilspark.llm import common
+
+    found = common.connected_components(simhash.links(frame))
+    # so many of two million values lie within three bits of another
+    assert found.count() > 99_000 and found.select("component").distinct().count() <= 3
+
+
+def test_a_very_long_text(spark):
+    text = "word " * 400_000 + "end"
+    (row,) = simhash.near_duplicates(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert row.component_id == 1 and row.fingerprint == f"{simhash.fingerprint(text):016x}"

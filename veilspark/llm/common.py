@@ -108,7 +108,16 @@ def small(frame: DataFrame) -> DataFrame:
         elif field.dataType.typeName() == "array":
             size += 40 * F.coalesce(F.size(F.col(field.name)), F.lit(0))
     found = frame.agg(F.sum(size.cast("long"))).first()[0] or 0
-    return F.broadcast(frame) if found <= BROADCAST_BYTES else frame
+    if found > BROADCAST_BYTES:
+        return frame
+    marked = F.broadcast(frame)
+    marked._broadcast = True
+    return marked
+
+
+def is_broadcast(frame: DataFrame) -> bool:
+    """Whether small() found a frame to be small."""
+    return getattr(frame, "_broadcast", False)
 
 
 def crc_fold(column, folds: int):

@@ -1,9 +1,10 @@
 """A media column: texts as lossless grey images in zip archives, behind a Spark data source.
 
-The writer rolls archives of bounded size into a folder, one file after another in each task, and commits a
-manifest; what failed or repeated tasks left behind is not in it. The reader plans byte ranges over each
-archive's directory (the zip central directory); a task opens the members whose headers begin in its range, each
-by its own offset and with its own retries, and streams them on as Arrow batches.
+The writer rolls archives of bounded size into a folder, one file after another in each task, with a list of each task's
+archives, and commits a manifest of those lists; what failed or repeated tasks left behind is not in it. The reader
+plans byte ranges over the lists, of which the driver sees no more than a name and a size each; a task reads the part of an
+archive's directory (the zip central directory) that its range needs, opens the members whose headers begin in it, each by
+its own offset and with its own retries, and streams them on as Arrow batches.
 """
 
 from __future__ import annotations
@@ -27,10 +28,14 @@ WIDTH = 576
 ARCHIVE_BYTES = 64 << 20
 #: Bytes of an archive that a reading task takes.
 RANGE_BYTES = 16 << 20
+#: Reading tasks at most; of more ranges, several are one task's, however many bytes there are.
+MOST_RANGES = 50_000
+#: Bytes of an archive after which the place in its directory is noted.
+MARK_BYTES = 4 << 20
 #: Bytes of media and payload in an outgoing batch, beside one member.
 BATCH_BYTES = 4 << 20
 RETRIES = 3
-MANIFEST = "_manifest"
+MANIFEST, LIST = "_manifest", "_archives"
 SCHEMA = "doc_id long, media binary, payload binary, n_bytes long, feature string, error string"
 
 _PNG = b"\x89PNG\r\n\x1a\n"
@@ -102,16 +107,101 @@ def _store(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def write_list(store, root: str, task: str, archives: list[dict]) -> tuple[str, int]:
+    """Writes the list of a task's archives; gives its name and the bytes in them."""
+    name = f"{LIST}-{task}.json"
+    with store.open_output_stream(f"{root}/{name}") as out:
+        out.write(json.dumps(archives).encode())
+    return name, sum(a["end"] for a in archives)
+
+
+def write_manifest(path: str, messages) -> None:
+    store, root = _store(path)
+    store.create_dir(root, recursive=True)
+    with store.open_output_stream(f"{root}/{MANIFEST}-{uuid.uuid4().hex}.json") as out:
+        out.write(json.dumps([m.list for m in messages if m is not None and m.list]).encode())
+
+
+def delete_archives(path: str, messages) -> None:
+    store, root = _store(path)
+    for message in messages:
+        if message is not None and message.list:
+            try:
+                for archive in read_list(store, root, message.list[0]):
+                    store.delete_file(f"{root}/{archive['name']}")
+                store.delete_file(f"{root}/{message.list[0]}")
+            except OSError:
+                pass
+
+
+def read_list(store, root: str, name: str) -> list[dict]:
+    with store.open_input_stream(f"{root}/{name}") as file:
+        return json.loads(file.read())
+
+
+def plan(path: str, range_bytes: int) -> list[InputPartition]:
+    """Partitions of about range_bytes of the committed archives, or of more where there would be over MOST_RANGES."""
+    from pyarrow import fs
+
+    store, root = _store(path)
+    lists = []
+    for info in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        if info.base_name.startswith(MANIFEST):
+            with store.open_input_stream(info.path) as file:
+                lists += json.loads(file.read())
+    step = max(range_bytes, -(-sum(size for _, size in lists) // MOST_RANGES))
+    found, spans, held = [], [], 0
+    for name, size in lists:
+        at = 0
+        while at < size:
+            taken = min(step - held, size - at)
+            spans.append((name, at, at + taken))
+            at, held = at + taken, held + taken
+            if held == step:
+                found.append(Spans(spans))
+                spans, held = [], 0
+    return [*found, Spans(spans)] if spans or not found else found
+
+
+def archives_in(store, root: str, spans):
+    """(archive, start, stop) for the parts of archives in spans of their lists' bytes."""
+    for name, start, stop in spans:
+        at = 0
+        for archive in read_list(store, root, name):
+            if at < stop and start < at + archive["end"]:
+                yield archive, max(0, start - at), min(archive["end"], stop - at)
+            at += archive["end"]
+
+
+class Spans(InputPartition):
+    """Bytes of lists of archives: (list, start, stop)."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.spans = spans
+
+
+class Committed(WriterCommitMessage):
+    """The list of a task's archives, as (name, bytes); None of a task without rows."""
+
+    def __init__(self, found):
+        self.list = found
+
+
 class _Archive:
     """A zip file written in one pass: members stored as they are, the directory last."""
 
     def __init__(self, store, name: str):
         self.name, self.file, self.entries, self.at = name, store.open_output_stream(name), [], 0
+        # (offset of a member, offset of its entry in the directory), now and then
+        self.marks, self.listed = [(0, 0)], 0
 
     def add(self, name: str, media: bytes) -> None:
         raw, crc = name.encode(), zlib.crc32(media)
+        if self.at - self.marks[-1][0] >= MARK_BYTES:
+            self.marks.append((self.at, self.listed))
         fields = (20, 0x800, 0, 0, 33, crc, len(media), len(media), len(raw), 0)
         self.entries.append(_ENTRY + struct.pack(_ENTRY_FIELDS, 20, *fields, 0, 0, 0, 0, self.at) + raw)
+        self.listed += len(self.entries[-1])
         for part in (_LOCAL + struct.pack(_LOCAL_FIELDS, *fields) + raw, media):
             self.file.write(part)
             self.at += len(part)
@@ -121,12 +211,7 @@ class _Archive:
         self.file.write(directory)
         self.file.write(_END + struct.pack(_END_FIELDS, 0, 0, min(n, 0xFFFF), min(n, 0xFFFF), len(directory), self.at, 0))
         self.file.close()
-        return {"name": self.name.rsplit("/", 1)[1], "members": n, "directory": self.at, "end": self.at + len(directory)}
-
-
-class _Committed(WriterCommitMessage):
-    def __init__(self, archives: list[dict]):
-        self.archives = archives
+        return {"name": self.name.rsplit("/", 1)[1], "members": n, "directory": self.at, "end": self.at + len(directory), "marks": [*self.marks, (self.at, len(directory))]}
 
 
 class _Writer(DataSourceArrowWriter):
@@ -150,26 +235,13 @@ class _Writer(DataSourceArrowWriter):
                     archive = None
         if archive is not None:
             done.append(archive.close())
-        return _Committed(done)
+        return Committed(write_list(store, root, task, done) if done else None)
 
     def commit(self, messages):
-        store, root = _store(self.path)
-        store.create_dir(root, recursive=True)
-        with store.open_output_stream(f"{root}/{MANIFEST}-{uuid.uuid4().hex}.json") as out:
-            out.write(json.dumps([a for m in messages if m is not None for a in m.archives]).encode())
+        write_manifest(self.path, messages)
 
     def abort(self, messages):
-        store, root = _store(self.path)
-        for archive in [a for m in messages if m is not None for a in m.archives]:
-            try:
-                store.delete_file(f"{root}/{archive['name']}")
-            except OSError:
-                pass
-
-
-class _Range(InputPartition):
-    def __init__(self, name: str, start: int, stop: int, directory: int, end: int):
-        self.name, self.start, self.stop, self.directory, self.end = name, start, stop, directory, end
+        delete_archives(self.path, messages)
 
 
 class _Reader(DataSourceReader):
@@ -177,35 +249,29 @@ class _Reader(DataSourceReader):
         self.path, self.range_bytes = path, range_bytes
 
     def partitions(self):
-        from pyarrow import fs
-
-        store, root = _store(self.path)
-        found = []
-        for info in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
-            if info.base_name.startswith(MANIFEST):
-                with store.open_input_stream(info.path) as file:
-                    for a in json.loads(file.read()):
-                        found += [_Range(a["name"], at, min(at + self.range_bytes, a["directory"]), a["directory"], a["end"]) for at in range(0, a["directory"], self.range_bytes)]
-        return found or [_Range("", 0, 0, 0, 0)]
+        return plan(self.path, self.range_bytes)
 
     def read(self, partition):
         kinds = pa.schema([("doc_id", pa.int64()), ("media", pa.binary()), ("payload", pa.binary()), ("n_bytes", pa.int64()), ("feature", pa.string()), ("error", pa.string())])
-        if partition.name:
-            store, root = _store(self.path)
-            with store.open_input_file(f"{root}/{partition.name}") as file:
-                file.seek(partition.directory)
-                directory = file.read(partition.end - partition.directory)
-                rows, held = [], 0
-                for name, offset, size, crc in entries(directory):
-                    if partition.start <= offset < partition.stop:
-                        row = self.member(store, f"{root}/{partition.name}", file, name, offset, size, crc)
+        store, root = _store(self.path)
+        rows, held = [], 0
+        for archive, start, stop in archives_in(store, root, partition.spans):
+            path, marks = f"{root}/{archive['name']}", archive["marks"]
+            # the part of the directory with all members that begin in start..stop
+            first = max(place for at, place in marks if at <= start)
+            last = min((place for at, place in marks if at >= stop), default=marks[-1][1])
+            with store.open_input_file(path) as file:
+                file.seek(archive["directory"] + first)
+                for name, offset, size, crc in entries(file.read(last - first)):
+                    if start <= offset < stop:
+                        row = self.member(store, path, file, name, offset, size, crc)
                         rows.append(row)
                         held += len(row[1] or b"") + len(row[2] or b"")
                         if held > BATCH_BYTES:
                             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds.types)], schema=kinds)
                             rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds.types)], schema=kinds)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds.types)], schema=kinds)
 
     def member(self, store, path, file, name, offset, size, crc):
         """A member by its offset. A failed read is tried again on a fresh handle; what stays broken gets a row with its error."""
@@ -282,7 +348,8 @@ def write(docs: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> Non
     """Writes doc_id and text of every row to archives in a folder.
 
     A null text is the empty text, a null doc_id stays null, repeated rows are members each, an empty table gives a
-    folder without members; other columns are ignored. A task holds one batch and one member at a time.
+    folder without members; ties have no order to keep; other columns are ignored. A task holds one batch and one member at
+    a time, so a text of any length takes memory in proportion to itself alone.
     """
     spark = docs.sparkSession
     common.small_batches(spark)

@@ -24,6 +24,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0b110001110101
 #: Groups of up to so many rows are compared by shifting whole batches.
 SHIFTS = 8
+#: Rows of a bucket that are compared at once; the rows of a larger one are dealt out by further keys first.
+LIMIT = 4096
 
 _TABLES: dict = {}
 
@@ -89,6 +91,47 @@ def keys(fingerprints):
     return np.concatenate(rows), np.concatenate(out)
 
 
+def _mixed(key, kind: int, value):
+    """A key for each row from a bucket's key and a value; rows that share one by chance are compared and found to differ."""
+    import numpy as np
+
+    x = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(kind * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1) + value.astype(np.uint64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+
+def further_keys(key, fingerprints):
+    """(row numbers, keys) that split an index pair's bucket so that any two near rows of it which it has to find still meet.
+
+    They have one differing bit at most in either segment of the pair. If they have one at most in the third segment too, they
+    meet by its nearby indices; else by the bits of that segment of the pair in which they do not differ.
+    """
+    import numpy as np
+
+    rows, out = [], []
+    for number, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
+        own = np.flatnonzero(key >> 24 == number)
+        if not len(own):
+            continue
+        near = indices(fingerprints[own], 3 - a - b)[1]
+        good = np.nonzero(near >= 0)
+        rows.append(own[good[0]])
+        out.append(_mixed(key[rows[-1]], 1, near[good]))
+        for kind, (low, bits) in ((2, SEGMENTS[a]), (3, SEGMENTS[b])):
+            rows.append(own)
+            out.append(_mixed(key[own], kind, (fingerprints[own] >> np.uint64(low)) & np.uint64((1 << bits) - 1)))
+    return np.concatenate(rows), np.concatenate(out)
+
+
+def quarter_keys(key, fingerprints):
+    """(row numbers, keys) that split any bucket: of four sets of bits, every fourth each, three differing bits leave one alike."""
+    import numpy as np
+
+    masks = [np.uint64(sum(1 << bit for bit in range(k, 64, 4))) for k in range(4)]
+    return np.tile(np.arange(len(key)), 4), np.concatenate([_mixed(key, 4 + k, fingerprints & m) for k, m in enumerate(masks)])
+
+
 def fingerprint(text: str | None) -> int:
     """A bit is set if it is in over half of the XXH64 hashes of the word shingles; A-Z lowered; 0 without words."""
     import numpy as np
@@ -145,61 +188,119 @@ def forest(fps):
     return links
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Links (a, b) between different near fingerprints of a frame (fp): enough to join all that chains of near ones join."""
-    common.small_batches(distinct.sparkSession)
-
-    def emit(batches):
-        import numpy as np
+def _close_pairs(key, fp):
+    """Links (a, b) in whole groups of rows sorted by key, enough to join all that chains of near ones join."""
+    import numpy as np
 
-        for batch in batches:
-            fps = batch.column(0).to_numpy().view(np.uint64)
-            for at in range(0, len(fps), 4096):
-                rows, found = keys(fps[at : at + 4096])
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(fps[at : at + 4096][rows].view(np.int64), pa.int64())], names=["key", "fp"])
+    a, b = [], []
+    size = np.diff(np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)))
+    of_row = np.repeat(size, size)
+    small = of_row <= SHIFTS
+    k, f = key[small & (of_row > 1)], fp[small & (of_row > 1)]
+    for shift in range(1, SHIFTS):
+        near = (k[shift:] == k[:-shift]) & (np.bitwise_count(f[shift:] ^ f[:-shift]) <= DISTANCE)
+        a.append(f[:-shift][near])
+        b.append(f[shift:][near])
+    begins = np.cumsum(size) - size
+    for g in np.flatnonzero(size > SHIFTS):
+        found = forest(fp[begins[g] : begins[g] + size[g]])
+        if found:
+            x, y = zip(*found)
+            a.append(np.array(x, np.uint64))
+            b.append(np.array(y, np.uint64))
+    return np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+
+
+def _matched(keyed: DataFrame, limit: int | None) -> DataFrame:
+    """(a, b, key) for rows (key, fp): links between near rows of a key, with a null key; and the rows a of keys with over limit rows, with their key."""
 
     def match(batches):
         import numpy as np
 
-        def close_pairs(key, fp):
-            """Links in whole groups of rows sorted by key."""
-            a, b = [], []
-            size = np.diff(np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)))
-            of_row = np.repeat(size, size)
-            small = of_row <= SHIFTS
-            k, f = key[small & (of_row > 1)], fp[small & (of_row > 1)]
-            for shift in range(1, SHIFTS):
-                near = (k[shift:] == k[:-shift]) & (np.bitwise_count(f[shift:] ^ f[:-shift]) <= DISTANCE)
-                a.append(f[:-shift][near])
-                b.append(f[shift:][near])
-            begins = np.cumsum(size) - size
-            for g in np.flatnonzero(size > SHIFTS):
-                found = forest(fp[begins[g] : begins[g] + size[g]])
-                if found:
-                    x, y = zip(*found)
-                    a.append(np.array(x, np.uint64))
-                    b.append(np.array(y, np.uint64))
-            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(p.view(np.int64), pa.int64()) for p in pairs], names=["a", "b"])
-
-        held_key, held_fp = np.empty(0, np.int64), np.empty(0, np.uint64)
+        def out(a, b, key):
+            arrays = [pa.array(x.view(np.int64), pa.int64()) for x in (a, b)]
+            return pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(a), pa.int64()) if key is None else pa.array(key, pa.int64())], names=["a", "b", "key"])
+
+        def whole(key, fp):
+            """What becomes of rows whose groups are whole."""
+            if limit is not None:
+                size = np.diff(np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)))
+                many = np.repeat(size, size) > limit
+                if many.any():
+                    yield out(fp[many], fp[many], key[many])
+                    key, fp = key[~many], fp[~many]
+            if len(key):
+                yield out(*_close_pairs(key, fp), None)
+
+        parts, passing = [], None
         for batch in batches:
-            key = np.concatenate([held_key, batch.column(0).to_numpy()])
-            fp = np.concatenate([held_fp, batch.column(1).to_numpy().view(np.uint64)])
+            key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
             if not len(key):
                 continue
-            # the last group may go on in the next batch
+            if passing is not None:
+                # more rows of a key that is known to have too many
+                n = int(np.searchsorted(key, passing, side="right"))
+                if n:
+                    yield out(fp[:n], fp[:n], key[:n])
+                    key, fp = key[n:], fp[n:]
+                if not len(key):
+                    continue
+                passing = None
+            parts.append((key, fp))
+            if parts[0][0][0] == key[-1] and (limit is None or sum(len(k) for k, _ in parts) <= limit):
+                continue  # one group so far, which may go on
+            key, fp = (np.concatenate(x) for x in zip(*parts))
             end = int(np.searchsorted(key, key[-1]))
-            held_key, held_fp = key[end:], fp[end:]
             if end:
-                yield close_pairs(key[:end], fp[:end])
-        if len(held_key):
-            yield close_pairs(held_key, held_fp)
+                yield from whole(key[:end], fp[:end])
+            parts = [(key[end:], fp[end:])]
+            if limit is not None and len(key) - end > limit:
+                passing = key[-1]
+                yield out(fp[end:], fp[end:], key[end:])
+                parts = []
+        if parts:
+            yield from whole(*(np.concatenate(x) for x in zip(*parts)))
+
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(match, "a long, b long, key long")
+
+
+def _keyed(rows: DataFrame, make) -> DataFrame:
+    """(key, fp) for rows (key, fp), by a function that gives row numbers and new keys."""
+
+    def emit(batches):
+        import numpy as np
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                some = batch.slice(at, 4096)
+                key, fps = some.column(0).to_numpy(), some.column(1).to_numpy().view(np.uint64)
+                numbers, found = make(key, fps)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(fps[numbers].view(np.int64), pa.int64())], names=["key", "fp"])
+
+    return rows.mapInArrow(emit, "key long, fp long")
 
+
+def links(distinct: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Links (a, b) between different near fingerprints of a frame (fp): enough to join all that chains of near ones join.
+
+    Rows of a bucket of over limit rows are dealt out by further keys, and where these still gather too many, by a fourth of
+    their bits at a time, so what is compared does not grow with the square of a bucket.
+    """
+    common.small_batches(distinct.sparkSession)
     # a fingerprint makes up to 108 rows, so the few bytes of fingerprints are dealt out first
     tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = distinct.select("fp").repartition(tasks).mapInArrow(emit, "key long, fp long")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(match, "a long, b long").distinct()
+    rows = distinct.select(F.lit(0).cast("long").alias("key"), "fp").repartition(tasks)
+    found = []
+    for make, most in ((lambda key, fps: keys(fps), limit), (further_keys, limit), (quarter_keys, None)):
+        made = common.cut(_matched(_keyed(rows, make), most), "links")
+        found.append(made.where("key IS NULL").select("a", "b"))
+        rows = made.where("key IS NOT NULL").select("key", F.col("a").alias("fp"))
+        if rows.isEmpty():
+            break
+    every = found[0]
+    for more in found[1:]:
+        every = every.union(more)
+    return every.distinct()
 
 
 def components(prints: DataFrame) -> DataFrame:
@@ -208,12 +309,13 @@ def components(prints: DataFrame) -> DataFrame:
     Exact copies share a fingerprint and are reduced to it before the search, so a group of copies costs one row.
     """
     distinct = common.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
-    joined = common.connected_components(links(distinct)).withColumnRenamed("node", "fp")
+    joined = common.cut(common.connected_components(links(distinct)), "joined").withColumnRenamed("node", "fp")
     roots = joined.join(distinct, "fp")
     smallest = roots.groupBy("component").agg(F.min("first").alias("component_id"))
-    linked = joined.join(smallest, "component").select("fp", "component_id")
+    # a component with very many fingerprints is pre-aggregated above, and its join is broadcast or split as it runs
+    linked = joined.join(common.small(common.cut(smallest, "smallest")), "component").select("fp", "component_id")
     reached = common.cut(distinct.join(linked, "fp", "left").select("fp", F.least("first", "component_id").alias("component_id")), "reached")
-    return prints.join(reached, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(common.small(reached), "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

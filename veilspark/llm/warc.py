@@ -1,7 +1,7 @@
 """WARC archives behind a Spark data source, read as a table of bounded chunks with incremental digests.
 
-Every record is a gzip member of its own. The writer rolls archives in a folder and commits a manifest with offsets
-at which reading may begin; the reader streams members from such an offset on and never holds a whole record: a
+Every record is a gzip member of its own. The writer rolls archives in a folder, lists for each task the offsets at
+which reading may begin, and commits a manifest of the lists; the reader streams members from such an offset on and never holds a whole record: a
 payload becomes rows of record_id and chunk_no, each with its bytes, the length so far and the SHA-1 so far.
 """
 
@@ -9,17 +9,16 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import json
 import uuid
 import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader
 
 from . import common
-from .media import MANIFEST, _store
+from .media import Committed, _store, archives_in, delete_archives, plan, write_list, write_manifest
 
 #: Bytes of payload in a row of the chunk table, and of each read and decompression.
 CHUNK = 64 << 10
@@ -27,8 +26,10 @@ ARCHIVE_BYTES = 64 << 20
 #: Compressed bytes between two offsets at which a task may begin.
 SPLIT_BYTES = 8 << 20
 BATCH_BYTES = 4 << 20
-#: Bytes that the headers of a record may take.
-HEADER_BYTES = 1 << 20
+#: Bytes of archives that a reading task takes, about.
+RANGE_BYTES = 16 << 20
+#: Rows of one payload that a task of the salted join takes.
+SAME_ROWS = 100_000
 #: Payloads of at least so many bytes are stored once.
 MIN_BYTES = 0
 LEVEL = 3
@@ -70,11 +71,6 @@ def record_parts(page_id, url, payload, record_type: str, refers_to):
     yield b"\r\n\r\n"
 
 
-class _Committed(WriterCommitMessage):
-    def __init__(self, archives: list[dict]):
-        self.archives = archives
-
-
 class _Writer(DataSourceArrowWriter):
     def __init__(self, path: str, archive_bytes: int):
         self.path, self.archive_bytes = path, archive_bytes
@@ -106,26 +102,13 @@ class _Writer(DataSourceArrowWriter):
         if file is not None:
             file.close()
             done.append({"name": name, "starts": starts, "end": at})
-        return _Committed(done)
+        return Committed(write_list(store, root, task, done) if done else None)
 
     def commit(self, messages):
-        store, root = _store(self.path)
-        store.create_dir(root, recursive=True)
-        with store.open_output_stream(f"{root}/{MANIFEST}-{uuid.uuid4().hex}.json") as out:
-            out.write(json.dumps([a for m in messages if m is not None for a in m.archives]).encode())
+        write_manifest(self.path, messages)
 
     def abort(self, messages):
-        store, root = _store(self.path)
-        for archive in [a for m in messages if m is not None for a in m.archives]:
-            try:
-                store.delete_file(f"{root}/{archive['name']}")
-            except OSError:
-                pass
-
-
-class _Span(InputPartition):
-    def __init__(self, name: str, start: int, stop: int):
-        self.name, self.start, self.stop = name, start, stop
+        delete_archives(self.path, messages)
 
 
 def members(file, start: int, stop: int):
@@ -165,14 +148,14 @@ def chunks_of(member, with_data: bool = True):
     held = bytearray()
 
     def upto(mark: bytes, what: str) -> bytes:
+        looked = 0
         while True:
-            end = held.find(mark)
+            end = held.find(mark, looked)
             if end >= 0:
                 found = bytes(held[:end])
                 del held[: end + len(mark)]
                 return found
-            if len(held) > HEADER_BYTES:
-                raise ValueError(f"the {what} is too long")
+            looked = max(0, len(held) - len(mark) + 1)
             more = next(member, None)
             if more is None:
                 raise ValueError(f"the {what} does not end")
@@ -216,16 +199,7 @@ class _Reader(DataSourceReader):
         self.path, self.with_data = path, with_data
 
     def partitions(self):
-        from pyarrow import fs
-
-        store, root = _store(self.path)
-        found = []
-        for info in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
-            if info.base_name.startswith(MANIFEST):
-                with store.open_input_stream(info.path) as file:
-                    for a in json.loads(file.read()):
-                        found += [_Span(a["name"], b, e) for b, e in zip(a["starts"], [*a["starts"][1:], a["end"]])]
-        return found or [_Span("", 0, 0)]
+        return plan(self.path, RANGE_BYTES)
 
     def read(self, partition):
         kinds = pa.schema(
@@ -233,18 +207,21 @@ class _Reader(DataSourceReader):
             + [(n, pa.string()) for n in ("record_type", "target_uri", "refers_to", "payload_digest")]
             + [("http_length", pa.int64())]
         )
-        if not partition.name:
-            return
         store, root = _store(self.path)
         rows, held = [], 0
-        with store.open_input_file(f"{root}/{partition.name}") as file:
-            for member in members(file, partition.start, partition.stop):
-                for row in chunks_of(member, self.with_data):
-                    rows.append(row)
-                    held += 500 + len(row[2] or b"")
-                    if held > BATCH_BYTES:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds.types)], schema=kinds)
-                        rows, held = [], 0
+        for archive, first, last in archives_in(store, root, partition.spans):
+            starts = [s for s in archive["starts"] if first <= s < last]
+            if not starts:
+                continue
+            stop = next((s for s in archive["starts"] if s >= last), archive["end"])
+            with store.open_input_file(f"{root}/{archive['name']}") as file:
+                for member in members(file, starts[0], stop):
+                    for row in chunks_of(member, self.with_data):
+                        rows.append(row)
+                        held += 500 + len(row[2] or b"") + len(row[7] or "")
+                        if held > BATCH_BYTES:
+                            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds.types)], schema=kinds)
+                            rows, held = [], 0
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds.types)], schema=kinds)
 
@@ -266,26 +243,28 @@ class WarcArchive(DataSource):
         return _Writer(self.options["path"], int(self.options.get("archive_bytes", ARCHIVE_BYTES)))
 
 
-def decide(pages: DataFrame, min_bytes: int = MIN_BYTES, salts: int = 16) -> DataFrame:
+def decide(pages: DataFrame, min_bytes: int = MIN_BYTES, same_rows: int = SAME_ROWS) -> DataFrame:
     """(page_id, url, html, record_type, refers_to) for each row of pages.
 
     Of rows with equal html of at least min_bytes bytes those with the smallest page_id are responses and the others
     revisit it; smaller ones are all responses. A null html is the empty text; a null page_id counts as the
-    largest; a payload that only null ids have is a response. First ids are pre-aggregated by digest, and pages meet
-    them under a salted digest, so a payload with a third of all pages is spread over tasks.
+    largest; a payload that only null ids have is a response. First ids are pre-aggregated by digest, and only payloads
+    that occur twice are looked up: by a broadcast where their counted bytes allow it, so that no html is shuffled; else under
+    a salted digest, with as many salts as the most frequent payload's rows need.
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    key = F.sha2(F.col("html").cast("binary"), 256)
-    firsts = (
-        p.where(F.octet_length("html") >= min_bytes)
-        .groupBy(key.alias("key"))
-        .agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-        .where("n > 1")
-        .select("key", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    key = F.unhex(F.sha2(F.col("html").cast("binary"), 256))
+    repeated = common.cut(
+        p.where(F.octet_length("html") >= min_bytes).groupBy(key.alias("key")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null"), "firsts"
     )
-    salted = p.select("*", key.alias("key"), F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int").alias("salt"))
+    firsts = common.small(repeated.select("key", "first"))
+    keyed, on = p.withColumn("key", key), ["key"]
+    if not common.is_broadcast(firsts):
+        salts = -(-(repeated.agg(F.max("n")).first()[0] or 1) // same_rows)
+        firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        keyed, on = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")), ["key", "salt"]
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return salted.join(firsts, ["key", "salt"], "left").select(
+    return keyed.join(firsts, on, "left").select(
         "page_id", "url", "html", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to")
     )
 
@@ -304,24 +283,61 @@ def read_chunks(spark: SparkSession, path: str, with_data: bool = True) -> DataF
     return spark.read.format("warc_archive").option("with_data", str(with_data).lower()).load(path)
 
 
+def records(chunks: DataFrame) -> DataFrame:
+    """(record_id, record_type, target_uri, refers_to, payload_digest, http_length, payload_bytes, payload_sha1, sound) for each
+    record of a chunk table, from its chunks one after another: of a payload no more than a chunk is held at a time.
+
+    A partition has a record's chunks together and in order, as read_chunks() gives them. sound is whether the chunks' running
+    lengths and digests, the number of bytes and the stated digest are those of the bytes. A revisit has no bytes, and is sound as it is.
+    """
+
+    def run(batches):
+        names = ["record_id", "record_type", "target_uri", "refers_to", "payload_digest", "http_length", "payload_bytes", "payload_sha1", "sound"]
+        kinds = [pa.string()] * 5 + [pa.int64()] * 2 + [pa.string(), pa.bool_()]
+        sha, length, sound, expected = hashlib.sha1(), 0, True, 0
+        for batch in batches:
+            out = []
+            columns = [batch.column(n).to_pylist() for n in ("record_id", "chunk_no", "bytes_so_far", "sha1_so_far", "is_last", "record_type", "target_uri", "refers_to", "payload_digest", "http_length")]
+            for (record, number, upto, digest, last, kind, uri, refers, stated, http), data in zip(zip(*columns), batch.column(batch.schema.names.index("data"))):
+                if number == 0:
+                    sha, length, sound, expected = hashlib.sha1(), 0, True, 0
+                held = data.as_buffer()
+                sha.update(held)
+                length += len(held)
+                found = base32(sha.digest())
+                sound &= number == expected and upto == length and digest == found
+                expected += 1
+                if last:
+                    whole = kind == "revisit" and not length or length == http and stated == f"sha1:{found}"
+                    out.append((record, kind, uri, refers, stated, http, length, found, sound and whole))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=names)
+
+    return chunks.mapInArrow(run, "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, http_length long, payload_bytes long, payload_sha1 string, sound boolean")
+
+
 def digests(pages: DataFrame) -> DataFrame:
     """Writes pages to archives in the shared folder and gives per record what is read back.
 
-    A response's length and digest come from its stored bytes, and must agree with its headers; a revisit's from its headers.
+    A response's length and digest are those of the bytes in its chunk rows, and must agree with its headers; a revisit's are
+    from its headers. Repeated rows are records each; ties in page_id and html are all responses or all revisits; an empty
+    table gives an empty one; other columns are ignored. Urls and html may be of any length.
     """
     path = common.scratch(pages.sparkSession, "warc")
     write(decide(pages), path)
-    ends = read_chunks(pages.sparkSession, path, with_data=False).where("is_last")
+    found = records(read_chunks(pages.sparkSession, path))
 
     def page(column: str):
         return F.expr(f"try_cast(regexp_extract({column}, '^<urn:page:(.*)>$', 1) AS BIGINT)")
 
-    stated = F.regexp_replace("payload_digest", "^sha1:", "")
-    sound = (F.col("record_type") == "revisit") | ((F.col("sha1_so_far") == stated) & (F.col("bytes_so_far") == F.col("http_length")))
-    return ends.select(
+    response = F.col("record_type") == "response"
+    return found.select(
         page("record_id").alias("page_id"),
-        F.col("http_length").alias("payload_bytes"),
-        F.when(~sound, F.raise_error(F.concat(F.lit("broken record "), "record_id"))).when(F.col("record_type") == "response", F.col("sha1_so_far")).otherwise(stated).alias("payload_digest"),
+        F.when(response, F.col("payload_bytes")).otherwise(F.col("http_length")).alias("payload_bytes"),
+        F.when(~F.col("sound"), F.raise_error(F.concat(F.lit("broken record "), "record_id")))
+        .when(response, F.col("payload_sha1"))
+        .otherwise(F.regexp_replace("payload_digest", "^sha1:", ""))
+        .alias("payload_digest"),
         "record_type",
         page("refers_to").alias("refers_to"),
     )
