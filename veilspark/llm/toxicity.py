@@ -95,8 +95,6 @@ class Lexicon:
         return self.ids[state]
 
     def _move(self, state: int, c: str) -> int:
-        if len(self.states) > CACHE:
-            raise OverflowError
         after = set()
         for node, edits in self.states[state]:
             child = self.children[node].get(c)
@@ -109,7 +107,10 @@ class Lexicon:
         return to
 
     def match(self, word: str) -> tuple[str, int] | None:
-        """(stem, edits) of the best stem that the word begins with: fewest edits, then the heaviest."""
+        """(stem, edits) of the best stem that the word begins with: fewest edits, then the heaviest.
+
+        States are forgotten between words where there are too many; one word adds no more than the longest stem has letters, and its edits.
+        """
         if len(self.states) > CACHE:
             self.reset()
         state, best = self.begin, None
@@ -161,8 +162,6 @@ class WideLexicon(Lexicon):
         return self.ids[state]
 
     def _move(self, state: int, c: str) -> int:
-        if len(self.states) > CACHE:
-            raise OverflowError
         after = set()
         for node, edits, waits in self.states[state]:
             if waits:
