@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -147,3 +148,118 @@ def test_rare_terms_are_learned(spark):
     clean = [(prose(draw, 20),) for _ in range(2500)]
     stems = toxicity.learn_lexicon(*(spark.createDataFrame(x, "text string") for x in (toxic, clean)))
     assert any("slimebag".startswith(s) for s in stems)
+
+
+def slow_shape(text):
+    """The features of a text by plain counting."""
+    words = text.split()
+    if not words:
+        return [0.0] * 20
+    n, lines = len(words), [x for x in text.split("\n") if x.strip()]
+    seen, pairs, others, upper, letters = {}, {}, 0, 0, 0
+    for w in words:
+        seen[w] = seen.get(w, 0) + 1
+    for k in range(n - 1):
+        pairs[words[k], words[k + 1]] = pairs.get((words[k], words[k + 1]), 0) + 1
+    for c in text:
+        letters += c.isalpha()
+        upper += c.isupper()
+        others += not (c.isalnum() or c == "_" or c.isspace() or c in ".,;:!?'\"|()[]{}<>-")
+    blocks = [" ".join(words[k : k + 8]) for k in range(0, n, 8)]
+    return [
+        min(len(str(n)), 6) / 5, len(seen) / n**0.9, sum(words[k] == words[k + 1] for k in range(n - 1)) / n, max(seen.values()) / n, 1 - len(set(lines)) / len(lines),
+        min(letters / n, 30) / 10, sum(len(w) > 15 for w in seen) / len(seen), upper / max(1, letters), sum(c.isdigit() for c in text) / len(text), others / len(text),
+        text.count("!") / len(text), sum(not w[-1].isalnum() for w in words) / n, text.count("|") / len(text), min(n / len(lines), 200) / 100,
+        sum(c in ".?" for c in text) / n, sum(w[0].isupper() for w in words) / n, 1 - len(set(blocks)) / len(blocks), max(pairs.values(), default=0) / n, sum(c in "()[]{}<>" for c in text) / len(text), others / n,
+    ]
+
+
+def test_quality_scores_as_a_plain_version(spark):
+    docs, labels = frames(spark)
+    more = spark.createDataFrame([(2000, "A (b) [c] {d} <e> | f!!\n\n1 2 3 ## ~~ \u00e9_x\nA (b) [c]", "x"), (2001, "one", "x"), (2002, "same " * 64, "x")], docs.schema)
+    docs = docs.union(more)
+    model = quality.train(docs, labels, common.crc_fold(F.col("doc_id"), 5) != 0)
+    texts = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=str)
+    want = []
+    for _, text in texts:
+        z = [max(-6.0, min(6.0, (x - m) / s)) for x, m, s in zip(slow_shape(text), model["mean"], model["spread"])]
+        want.append(1 / (1 + np.exp(-(sum(a * b for a, b in zip(z, model["weights"])) + model["weights"][-1]))))
+    got = sorted(((r.doc_id, r.score) for r in quality.classify(docs, labels).collect()), key=lambda r: str(r[0]))
+    by = {}
+    for (d, _), w in zip(texts, want):
+        by.setdefault(d, []).append(w)
+    for d, s in got:
+        assert min(abs(s - w) for w in by[d]) < 1e-9
+
+
+def test_the_risk_is_what_is_minimised():
+    draw = np.random.default_rng(13)
+    p, u = draw.normal(1, 1, (400, 3)), np.concatenate([draw.normal(1, 1, (300, 3)), draw.normal(-1.5, 1, (300, 3))])
+    model = quality.fit(p, u)
+
+    def risk(w):
+        z = lambda x: np.clip((x - model["mean"]) / model["spread"], -6, 6) @ w[:-1] + w[-1]
+        log = lambda t: np.log1p(np.exp(-t))
+        c = model["prior"]
+        return c * log(z(p)).mean() + max(0.0, log(-z(u)).mean() - c * log(-z(p)).mean()) + quality.PENALTY / 2 * (w @ w)
+
+    best = risk(model["weights"])
+    assert abs(model["prior"] - 0.5) < 0.15
+    assert all(risk(model["weights"] + step) >= best - 1e-3 for step in draw.normal(0, 0.3, (300, 4)))
+
+
+def slow_toxicity(stems, text):
+    """The features of a text by trying every stem against every word."""
+    words, found = text.lower().split(), []
+    for k, w in enumerate(words):
+        core = w
+        while core and not core[0].isalnum():
+            core = core[1:]
+        while core and not core[-1].isalnum():
+            core = core[:-1]
+        near = [(e, -stems[s], s) for s in stems if core and (e := alignment(s, core)) <= toxicity.allowed(s)]
+        if near:
+            e, _, stem = min(near)
+            before, after = words[max(0, k - 6) : k], words[k : k + 7]
+            strip = lambda t: "".join(c for c in t if c.isalnum())
+            said = any(strip(t) in toxicity.REPORTING for t in before[-3:])
+            opens = any(t[0] in toxicity.QUOTES and not (len(t) > 1 and t[-1] in toxicity.QUOTES) for t in before) or w[0] in toxicity.QUOTES
+            closes = any((c := t.rstrip(".,;:!?"))[-1:] in toxicity.QUOTES and c for t in after)
+            found.append((k, stem, e, said or opens and closes))
+    if not found:
+        return [0.0] * 10
+    sure = lambda s, e: not e or e == 1 and len(s) >= 5
+    weight = lambda s: stems[s] / 5
+    exact = sum(weight(s) for _, s, e, q in found if sure(s, e) and not q and not e)
+    edited = sum(weight(s) for _, s, e, q in found if sure(s, e) and not q and e)
+    quoted = sum(weight(s) for _, s, e, q in found if sure(s, e) and q)
+    short = sum(weight(s) / (1 + q) for _, s, e, q in found if not sure(s, e) and e == 1)
+    twice = sum(weight(s) / (1 + q) for _, s, e, q in found if not sure(s, e) and e == 2)
+    plain = [(k, weight(s) / (1 + e)) for k, s, e, q in found if sure(s, e) and not q]
+    most = max([sum(x for j, x in plain if k - 24 <= j <= k) for k, _ in plain], default=0)
+    kinds = len({s for _, s, e, q in found if not e and not q and sure(s, e)})
+    return [math.log1p(x) for x in (exact, edited, quoted, 100 * exact / len(words), most)] + [min(kinds, 5) / 5] + [math.log1p(x) for x in (short, twice, 100 * short / len(words), 100 * twice / len(words))]
+
+
+def test_toxicity_scores_as_a_plain_version(spark):
+    draw, stems = random.Random(19), ("slimebag", "vequ", "grotten", "ploombat")
+    docs, labels = [], []
+    for i in range(240):
+        text, bad = prose(draw, 40).split(), i % 4 == 0
+        for _ in range(3 * bad):
+            w = draw.choice(stems)
+            at = draw.randrange(len(w) - 1)
+            w = draw.choice([w, w, w[:at] + w[at + 1] + w[at] + w[at + 2 :], w[:at] + "0" + w[at + 1 :], f'"{w}"', f"said {w}", w.upper() + "!", w[:at] + w[at + 1 :]])
+            text.insert(draw.randint(0, 30), w)
+        docs.append((i, " ".join(text)))
+        labels.append((i, 1, int(bad)))
+    docs += [(900, None), (901, " \n"), (None, "slimebga " * 9), (902, "prose " * 30_000 + "slimebag grottn")]
+    frame, known = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(frame, known, common.crc_fold(F.col("doc_id"), 3) != 1)
+    assert len(model["stems"]) >= 3
+    want = {}
+    for d, t in docs[:-1]:
+        x = slow_toxicity(model["stems"], t or "")
+        want[d] = 1 / (1 + np.exp(-(sum(a * b for a, b in zip(x, model["weights"])) + model["weights"][-1])))
+    got = {r.doc_id: r.score for r in toxicity.classify(frame, known).collect()}
+    assert all(abs(got[d] - w) < 1e-9 for d, w in want.items()) and 0 <= got[902] <= 1

@@ -15,7 +15,7 @@ LOWER = UPPER.lower()
 #: Bytes of an Arrow batch handed to Python, so that long texts do not pile up in a worker.
 ARROW_BATCH_BYTES = 8 << 20
 #: Bytes of a counted side of a join up to which it is broadcast.
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 4 << 20
 #: Edges of one node that a task of connected_components takes.
 HUB_EDGES = 250_000
 

@@ -216,7 +216,8 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0,
 
     A null or empty text has zero features; null doc_ids are scored but never learned from; repeated rows score
     equally; an empty docs table gives an empty one; too few labels give 0.5 throughout; other columns are
-    ignored. Scores depend on the text alone.
+    ignored. Of several labels of one id the highest counts. A text of any length is scored whole, in memory in proportion
+    to itself. Scores depend on the text alone; one at the threshold is predicted 1.
     """
     model = train(docs, labels, common.crc_fold(F.col("doc_id"), folds) != held)
     frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -368,7 +368,9 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1,
 
     A null or empty text matches nothing; null doc_ids are scored but never learned from; repeated rows score
     equally; an empty docs table gives an empty one; without labels of both kinds every score is 0; other columns
-    are ignored. Scores depend on the text alone.
+    are ignored. Of several labels of one id the highest counts. A text of any length is gone through whole, word by word.
+    Of stems that fit a word, the one of fewest edits counts, then the heaviest, then the first by letters. Scores
+    depend on the text alone; one at the threshold is predicted 1.
     """
     model = train(docs, labels, common.crc_fold(F.col("doc_id"), folds) != held)
     frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
