@@ -172,3 +172,28 @@ def test_registered_queries_without_the_optional_parts():
 
     core = entry.import_module("veilspark.queries")
     assert set(core.ORACLES) <= set(core.QUERIES) and "count_grouped_keyset" in entry.queries()
+
+
+def test_decomposition_and_equivalence_of_key_sets(spark):
+    ab, c = KeySet.from_tuples([(1, 2), (3, 4)], ["a", "b"]), KeySet.from_dataframe(spark.createDataFrame([("x",), ("y",)], "c string"))
+    bd = KeySet.from_dataframe(spark.createDataFrame([(2, 7), (4, 8)], "b long, d long"))
+    less = (ab * c) - KeySet.from_dict({"c": ["x"]})
+    factors, subtracted = less.decompose_with()
+    assert sorted(f.columns() for f in factors) == [["a", "b"], ["c"]] and [s.columns() for s in subtracted] == [["c"]]
+    again = factors[0] * factors[1]
+    for s in subtracted:
+        again = again - s
+    assert again == less and less.size() == 2
+    joined = ab.join(bd)
+    assert [f.columns() for f in joined.decompose_with()[0]] == [["a", "b", "d"]]
+    assert sorted(f.columns() for f in joined.decompose_with(["b"])[0]) == [["a", "b"], ["b", "d"]]
+    with pytest.raises(ValueError):
+        joined.decompose_with(["z"])
+    # told without a job: the order of factors, columns and sides does not count
+    assert (ab * c).is_equivalent(c * ab) is True and (ab * c).is_equivalent((c * ab)[["c", "b", "a"]]) is True
+    assert less.is_equivalent((c * ab) - KeySet.from_dict({"c": ["x"]})) is True and joined.is_equivalent(bd.join(ab)) is True
+    assert (ab * c).is_equivalent(KeySet.from_tuples([(1, 2)], ["a", "b"]) * c) is None and less.is_equivalent(ab * c) is None
+    big = KeySet.from_dict({"x": list(range(400)), "y": list(range(400))})
+    assert big.is_equivalent(KeySet.from_dict({"y": list(range(400)), "x": list(range(400))})) is True and big.is_equivalent(KeySet.from_dict({"y": list(range(400)), "x": list(range(1, 401))})) is False
+    assert ab.filter("a > 1").is_equivalent(ab.filter("a > 1")) is True and ab.filter("a > 1").is_equivalent(ab) is None
+    assert "keys" in Session.from_dataframe(PureDPBudget(1), "t", spark.createDataFrame([(1, 2)], "a long, b long"), AddOneRow())._describe(QueryBuilder("t").groupby(ab).count())

@@ -182,6 +182,50 @@ def _project(op, names: list[str]):
     return _Project(op, names)
 
 
+def _parts(op, split: set) -> tuple[list, list]:
+    """The factors of an operation, and what is subtracted from their product."""
+    if isinstance(op, _Cross):
+        both = [_parts(f, split) for f in op.factors]
+    elif isinstance(op, _Subtract):
+        both = [_parts(op.left, split), ([], [op.right])]
+    elif isinstance(op, _Join) and set(op.on) <= split:
+        both = [_parts(op.left, split), _parts(op.right, split)]
+    else:
+        return [op], []
+    return [f for factors, _ in both for f in factors], [s for _, subtracted in both for s in subtracted]
+
+
+def _paired(a, b) -> list[tuple] | None:
+    """The factors of two operations by their columns; None if they have others."""
+    left, right = ([*(op.factors if isinstance(op, _Cross) else [op])] for op in (a, b))
+    by = {frozenset(f.columns): f for f in right}
+    if len(left) != len(right) or {frozenset(f.columns) for f in left} != set(by):
+        return None
+    return [(f, by[frozenset(f.columns)]) for f in left]
+
+
+def _same(a, b) -> bool:
+    """Whether two operations surely have the same keys, as they are built alike; the order of columns and factors does not count."""
+    if a is b:
+        return True
+    if isinstance(a, _Cross) or isinstance(b, _Cross):
+        pairs = _paired(a, b)
+        return bool(pairs) and all(_same(x, y) for x, y in pairs) if isinstance(a, _Cross) and isinstance(b, _Cross) else False
+    if type(a) is not type(b) or set(a.columns) != set(b.columns):
+        return False
+    if isinstance(a, _Literal):
+        return set(a.rows) == set(_project(b, list(a.columns)).rows)
+    if isinstance(a, _Frame):
+        return a.df is b.df or list(a.columns) == list(b.columns) and a.df.sameSemantics(b.df)
+    if isinstance(a, _Project):
+        return _same(a.child, b.child)
+    if isinstance(a, _Filter):
+        return isinstance(a.condition, str) and a.condition == b.condition and _same(a.child, b.child)
+    if isinstance(a, (_Join, _Union)):
+        return _same(a.left, b.left) and _same(a.right, b.right) or _same(a.left, b.right) and _same(a.right, b.left)
+    return _same(a.left, b.left) and _same(a.right, b.right)
+
+
 class KeySet:
     """An immutable set of group keys. Columns may be whole numbers, strings or dates, and may be null."""
 
@@ -334,16 +378,32 @@ class KeySet:
         """The factors whose product this is."""
         return [KeySet(f) for f in self._op.factors] if isinstance(self._op, _Cross) else [self]
 
+    def decompose_with(self, split_columns: Iterable[str] = ()) -> tuple[list[KeySet], list[KeySet]]:
+        """(factors, subtracted): the product of the factors less each of the subtracted sets is this set.
+
+        Joins on split_columns alone are taken apart too; factors that share such columns are then to be joined instead.
+        """
+        names = list(split_columns)
+        missing = [n for n in names if n not in self._op.columns]
+        if missing:
+            raise ValueError(f"not columns of this set: {missing}")
+        factors, subtracted = _parts(self._op, set(names))
+        return [KeySet(f) for f in factors], [KeySet(s) for s in subtracted]
+
     def is_equivalent(self, other) -> bool | None:
         """Whether both have the same keys, if that can be told without running a job; else None."""
         if not isinstance(other, KeySet):
             return False
-        if self._op is other._op:
-            return True
         if {n: d.column_type for n, d in self._op.columns.items()} != {n: d.column_type for n, d in other._op.columns.items()}:
             return False
+        if _same(self._op, other._op):
+            return True
         if isinstance(self._op, _Literal) and isinstance(other._op, _Literal):
-            return set(self._op.rows) == set(_project(other._op, self.columns()).rows)
+            return False
+        pairs = _paired(self._op, other._op)
+        # products of literals are the same only if every factor is, unless one is empty
+        if pairs and all(isinstance(x, _Literal) and x.rows for pair in pairs for x in pair):
+            return False
         return None
 
     def __eq__(self, other) -> bool:
