@@ -23,7 +23,6 @@ from veilspark import (
     TruncationStrategy,
 )
 from veilspark.operators import noise
-from veilspark.plans.answers import choose_quantile
 
 IDS = [(1, "A", "X", 4), (1, "A", "Y", 5), (1, "A", "X", 6), (2, "A", "Y", 7), (3, "A", "X", 8), (3, "B", "Y", 9)]
 PURE, ZCDP = PureDPBudget(1), RhoZCDPBudget(1)
@@ -185,11 +184,15 @@ def test_groups_under_noise(spark):
         rows(spark, PURE).evaluate(QueryBuilder("t").get_groups(["A"]), PURE)
 
 
-def test_quantile_mechanism():
-    cells = [(c, 10) for c in range(0, 4096, 8)]
-    found = [choose_quantile(cells, 0.3, 0, 4096, 2.0, 1.0) for _ in range(60)]
-    assert abs(np.median(found) - 0.3 * 4096) < 60
-    assert all(0 <= choose_quantile([], 0.5, 0, 1, 1.0, 1.0) <= 1 for _ in range(20))
+def test_quantile_mechanism(spark):
+    frame = spark.createDataFrame([(k % 30, float(8 * (k // 30))) for k in range(30 * 512)], "g long, x double")
+    keys = KeySet.from_dict({"g": [*range(30), *range(100, 120)]})
+    session = Session.from_dataframe(PureDPBudget(2), "t", frame, AddOneRow())
+    got = {r.g: r.m for r in session.evaluate(QueryBuilder("t").groupby(keys).quantile("x", 0.3, 0, 4096, name="m"), PureDPBudget(2)).collect()}
+    assert abs(np.median([got[g] for g in range(30)]) - 0.3 * 4096) < 100 and len({got[g] for g in range(30)}) > 5
+    # groups without rows are anywhere between the bounds
+    empty = [got[g] for g in range(100, 120)]
+    assert all(0 <= m <= 4096 for m in empty) and max(empty) - min(empty) > 500
 
 
 def test_budgets():

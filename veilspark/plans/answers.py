@@ -30,8 +30,6 @@ from .tables import Scope, Table, compile_table
 
 #: Keys up to which an answer is fixed on the driver.
 ON_DRIVER = 10_000
-#: Cells between the bounds of a quantile that choose_quantile counts in.
-CELLS = 4096
 #: Bits of a value's place between the bounds of a quantile, as many as doubles tell apart there; and of the blocks that values are ranked in.
 PLACE, BLOCK = 50, 12
 #: The part of a group's values that bounds have to hold.
@@ -425,28 +423,6 @@ def _exact_quantile(df: DataFrame, value, q: float, keys, grouping, name: str, e
     return found.select(*map(quoted, grouping), F.coalesce("__least", F.lit(empty)).alias(name))
 
 
-def choose_quantile(cells: list[tuple[int, int]], q: float, low: float, high: float, epsilon: float, rows: float) -> float:
-    """A value with about the part q of the counted cells under it, by the exponential mechanism over cells and gaps."""
-    width, total = (high - low) / CELLS, sum(n for _, n in cells)
-    spans, below, at = [], 0, 0
-    for cell, n in sorted(cells):
-        if cell > at:
-            spans.append((at, cell, float(below)))
-        spans.append((cell, cell + 1, below + n / 2))
-        below, at = below + n, cell + 1
-    if at < CELLS:
-        spans.append((at, CELLS, float(below)))
-    utility = [-abs((1 - q) * b - q * (total - b)) for _, _, b in spans]
-    if epsilon == math.inf:
-        most = max(utility)
-        best = [s for s, u in zip(spans, utility) if u >= most - 1e-9]
-        a, b, _ = max(best, key=lambda s: math.log(s[1] - s[0]) + gumbel())
-    else:
-        moved = rows * max(q, 1 - q)
-        a, b, _ = max(zip(spans, utility), key=lambda su: math.log(su[0][1] - su[0][0]) + epsilon * su[1] / (2 * moved) + gumbel())[0]
-    return min(high, max(low, low + width * (a + (b - a) * uniform())))
-
-
 def _quantile(agg, t: Table, keys, grouping, budget):
     x = quoted(agg.column).cast("double")
     low, high, q = float(agg.low), float(agg.high), float(agg.quantile)
@@ -499,7 +475,7 @@ def _quantile(agg, t: Table, keys, grouping, budget):
 
         def finish(row):
             if row[width] is None:
-                return (*row[:width], choose_quantile([], q, low, high, epsilon, rows))
+                return (*row[:width], min(high, low + (high - low) * uniform()))
             a, b = (row[width][k] for k in ("a", "b"))
             return (*row[:width], min(high, max(low, low + (high - low) / 2**PLACE * (a + (b - a) * uniform()))))
 
