@@ -286,6 +286,18 @@ def test_exact_quantiles_are_values(spark):
         assert got == {**want, "none": 0.0}
 
 
+def test_names_of_timestamp_bins():
+    import datetime
+
+    at = datetime.datetime
+    names = lambda *edges: BinningSpec(list(edges)).names
+    assert names(at(2020, 1, 1), at(2020, 1, 2, 3, 4)) == ["[2020-01-01 00:00, 2020-01-02 03:04]"]
+    assert names(at(2020, 1, 1), at(2020, 1, 1, 0, 0, 5)) == ["[2020-01-01 00:00:00, 2020-01-01 00:00:05]"]
+    assert names(at(2020, 1, 1), at(2020, 1, 1, 0, 0, 0, 2000)) == ["[2020-01-01 00:00:00.000, 2020-01-01 00:00:00.002]"]
+    assert names(at(2020, 1, 1), at(2020, 1, 1, 0, 0, 0, 2)) == ["[2020-01-01 00:00:00.000000, 2020-01-01 00:00:00.000002]"]
+    assert names(datetime.date(2020, 1, 1), datetime.date(2020, 1, 2)) == ["[2020-01-01, 2020-01-02]"] and names("a", "b") == ["['a', 'b']"] and names(1, 2) == ["[1, 2]"]
+
+
 def test_many_bins(spark):
     import datetime
 

@@ -15,16 +15,26 @@ from ..types import ColumnDescriptor, ColumnType
 CHAINED = 32
 
 
-def _label(edge, digits: int) -> str:
+#: Units that a timestamp's name can end in, with their microseconds, the coarsest first.
+UNITS = (("minutes", 60_000_000), ("seconds", 1_000_000), ("milliseconds", 1_000), ("microseconds", 1))
+
+
+def _label(edge, digits: int, unit: str) -> str:
     if isinstance(edge, float):
         return f"{edge:.{digits}f}"
     if isinstance(edge, str):
         return repr(edge)
     if isinstance(edge, datetime.datetime):
-        return edge.isoformat(sep=" ", timespec="microseconds" if edge.microsecond else "seconds")
+        return edge.isoformat(sep=" ", timespec=unit)
     return str(edge)
 
 
+def _unit(edges) -> str:
+    """The coarsest unit that tells every timestamp exactly."""
+    past_minute = [e.second * 1_000_000 + e.microsecond for e in edges if isinstance(e, datetime.datetime)]
+    return next(name for name, size in UNITS if not any(x % size for x in past_minute))
+
+
 class BinningSpec:
     """Bins between ascending edges, and the name of the bin of a value.
 
@@ -67,8 +77,9 @@ class BinningSpec:
             raise ValueError(f"bin names can't be of type {kind.__name__}")
 
     def _default_names(self) -> list[str]:
+        unit = _unit(self.edges)
         for digits in range(2, 17):
-            shown = [_label(e, digits) for e in self.edges]
+            shown = [_label(e, digits, unit) for e in self.edges]
             if len(set(shown)) == len(shown) or self.input_type is not ColumnType.DECIMAL:
                 break
         last = len(shown) - 2
