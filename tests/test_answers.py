@@ -311,6 +311,12 @@ def test_many_bins(spark):
             assert got == [spec(v) for v in values] and [r.b for r in frame.select(few.column(frame.x).alias("b")).collect()] == [few(v) for v in values]
     session = Session.from_dataframe(PureDPBudget.inf(), "t", frame, AddOneRow())
     assert answer(session, QueryBuilder("t").histogram("x", BinningSpec([float(k) for k in range(3001)])).suppress(1)) == [("(17.00, 18.00]", 1), ("(2999.00, 3000.00]", 2), ("[0.00, 1.00]", 3)]
+    words = BinningSpec([f"{k:04d}, '\\x" for k in range(50)], names=["", *(f"b,{k}\\ \"" for k in range(48))])
+    texts = spark.createDataFrame([(v,) for v in (None, "", "0000, '\\x", "0007, '\\x", "0048, '\\xz", "9")], "s string")
+    assert [r.b for r in texts.select(words.column(texts.s).alias("b")).collect()] == [words(r.s) for r in texts.collect()]
+    odd = BinningSpec([-math.inf, *(0.1 * k for k in range(60)), 1e300, math.inf], names=list(range(62)))
+    got = frame.select(odd.column(frame.x).alias("b")).collect()
+    assert [r.b for r in got] == [odd(v) for v in values]
     days = [datetime.date(2020, 1, 1) + datetime.timedelta(k) for k in range(100)]
     frame = spark.createDataFrame([(d,) for d in days], "d date")
     spec = BinningSpec(days[10:60], right=False)
