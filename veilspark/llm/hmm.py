@@ -25,11 +25,13 @@ STEPS = 64
 #: Baum-Welch ends with the round that adds less than this part to the log likelihood (with the priors' part).
 SETTLED = 1e-4
 #: Tokens, of all sequences together, that a training pass takes at a time; messages are handed on from piece to piece.
-PIECE = 200_000
+PIECE = 400_000
 #: Steps after which forward probabilities are scaled; a product of so many stays far from the least double.
 RESCALE = 8
 #: Tokens beyond which texts are trained on apart from shorter ones, together, as each of them takes as many steps.
 LONG = 1024
+#: Sequences in a step from which its moves are counted by themselves.
+WIDE = 256
 #: Tasks of a training round for each core; each passes on counts of all classes, so they grow with the cluster and not with the corpus.
 TASKS_PER_CORE = 2
 #: Tokens of a batch of classified texts; and of texts recursed over together, in scoring and in training (twice as many of long ones).
@@ -183,6 +185,8 @@ def expected_counts(model: Model, sequences, into) -> None:
         into[3] += sum(np.log10(c).sum() for c in scales.values()) + np.log10(totals).sum()
         behind = np.empty(ahead.shape)
         starts, counts = begins.tolist(), alive.tolist()
+        # moves are counted step by step where many sequences go on, else for the whole piece at once
+        wide = len(classes) > WIDE * len(counts)
         # seen becomes what a step passes back: emission times all that follows, scaled as ahead is
         for t in range(len(counts) - 1, -1, -1):
             b, n = starts[t], counts[t]
@@ -199,13 +203,16 @@ def expected_counts(model: Model, sequences, into) -> None:
             passed *= beta
             if t in scales:
                 passed /= scales[t]
+            if t and wide:
+                moved += ahead[:, starts[t - 1] : starts[t - 1] + n] @ passed.T
         n = counts[0]
         if number:
             moved += messages[number] @ seen[:, :n].T
             later = backward @ seen[:, :n]
-        # each token but a piece's first ones comes after the token as many places before it as went on to it
-        before = np.arange(n, len(classes)) - np.repeat(alive[:-1], alive[1:])
-        moved += ahead.take(before, axis=1) @ seen[:, n:].T
+        if not wide:
+            # each token but a piece's first ones comes after the token as many places before it as were there then
+            before = np.arange(n, len(classes)) - np.repeat(alive[:-1], alive[1:])
+            moved += ahead.take(before, axis=1) @ seen[:, n:].T
         ahead *= behind
         if not number:
             into[0] += ahead[:, :n].sum(1)
