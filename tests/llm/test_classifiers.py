@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from veilspark.llm import common, quality, toxicity
@@ -263,3 +264,43 @@ def test_toxicity_scores_as_a_plain_version(spark):
         want[d] = 1 / (1 + np.exp(-(sum(a * b for a, b in zip(x, model["weights"])) + model["weights"][-1])))
     got = {r.doc_id: r.score for r in toxicity.classify(frame, known).collect()}
     assert all(abs(got[d] - w) < 1e-9 for d, w in want.items()) and 0 <= got[902] <= 1
+
+
+def test_states_are_forgotten_by_size(monkeypatch):
+    stems = {"slimebag": 5.0, "grotwit": 4.0, "vile": 4.5}
+    draw = random.Random(31)
+    words = ["".join(draw.choice("slimebagrotwv") for _ in range(draw.randrange(3, 11))) for _ in range(300)] + ["slimebga", "limebag", "grottwit", "vlie", "x" * 500]
+    want = [toxicity.WideLexicon(stems).match(w) for w in words]
+    few = toxicity.WideLexicon(stems)
+    monkeypatch.setattr(toxicity, "STATE_BYTES", 20 * toxicity.OF_STATE, raising=False)
+    most = 0
+    for word, found in zip(words, want):
+        assert few.match(word) == found, word
+        most = max(most, len(few.states))
+    assert most < 60 and sum(map(bool, want)) > 3
+
+
+def test_a_worker_lets_go_of_what_another_operator_kept(spark):
+    import gc
+    import weakref
+
+    from veilspark.llm import simhash
+
+    class Here:
+        """A frame whose Python function runs in this process."""
+
+        sparkSession = spark
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, function, schema):
+            return list(function(iter([pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["a b c"]})])))
+
+    words = toxicity._words_of({"slimebag": 5.0})
+    assert toxicity._words_of({"slimebag": 5.0}) is words
+    alive = weakref.ref(words.lexicon)
+    del words
+    assert simhash.fingerprints(Here())[0].num_rows == 1
+    gc.collect()
+    assert alive() is None

@@ -148,15 +148,11 @@ class _Pieces(dict):
         return found
 
 
-_LOADED: dict = {}
-
-
 def codec(vocabulary: bytes, pattern: str):
     """(text -> bytes of ids, bytes of ids -> bytes of text), built once per Python worker."""
     import regex
 
-    key = (hash(vocabulary), pattern)
-    if key not in _LOADED:
+    def make():
         bpe = Bpe(read_ranks(vocabulary))
         pieces, find, words = _Pieces(bpe), regex.compile(pattern).findall, bpe.words
 
@@ -166,8 +162,9 @@ def codec(vocabulary: bytes, pattern: str):
         def decode(ids: bytes) -> bytes:
             return b"".join(map(words.__getitem__, array("I", ids)))
 
-        _LOADED[key] = encode, decode
-    return _LOADED[key]
+        return encode, decode
+
+    return common.kept("bpe", (hash(vocabulary), pattern), make)
 
 
 def encode_decode(docs: DataFrame, vocabulary_path: str, pattern: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +93,24 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 
+#: What this Python worker keeps from task to task, under the name of the operator that it belongs to: one operator's at a time.
+_KEPT: dict[str, tuple] = {}
+
+
+def kept(owner: str, key=None, make=None):
+    """What make() gave this worker for the owner's key, made anew where the key is another. Workers outlive an operator, so what
+    others kept is let go first, and its memory given back; without make, that is all."""
+    if _KEPT and owner not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    if make is None:
+        return None
+    if owner not in _KEPT or _KEPT[owner][0] != key:
+        _KEPT[owner] = key, make()
+    return _KEPT[owner][1]
+
+
 def ascii_lower(column):
     """A-Z lowered and nothing else. Spark's own lower is faster by far, and the same unless capitals beyond ASCII, or characters that regular expressions do not know yet, occur."""
     return F.when(column.rlike(r"[\p{IsUppercase}\p{Lt}\p{Cn}&&[^A-Z]]"), F.translate(column, UPPER, LOWER)).otherwise(F.lower(column))

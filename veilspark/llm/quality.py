@@ -157,6 +157,7 @@ def sampled(ids: DataFrame, rows: int) -> DataFrame:
 
 def _features_of(docs: DataFrame) -> DataFrame:
     def run(batches):
+        common.kept("quality")
         for batch in batches:
             found = [features(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], names=["kind", "x"])
@@ -201,6 +202,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
     def run(batches):
         import numpy as np
 
+        common.kept("quality")
         for batch in batches:
             x = np.array([features(t.as_py() or "") for t in batch.column(at)]).reshape(batch.num_rows, len(NAMES))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores_of(sent.value, x), pa.float64())], names=[*kept, "score"])

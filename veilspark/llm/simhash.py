@@ -160,6 +160,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches):
         import numpy as np
 
+        common.kept("simhash")
         for batch in batches:
             fps = np.array([fingerprint(text.as_py()) for text in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 
 import pyarrow as pa
@@ -25,8 +26,12 @@ FUZZY = 5
 LONG = 8
 #: Words on each side of a match that are looked at.
 CONTEXT = 6
-#: States and words remembered per worker.
+#: Stems counted by a task before it hands them on.
 CACHE = 500_000
+#: Words remembered per worker: some 25 MB.
+WORDS = 200_000
+#: Bytes of states remembered per worker, at eight a member and so many for a state and its moves.
+STATE_BYTES, OF_STATE = 128 << 20, 450
 STEPS = 500
 #: Numbers of a text that its score is made from.
 FEATURES = 10
@@ -44,6 +49,15 @@ def allowed(stem: str) -> int:
     return 2 if len(stem) >= LONG else 1
 
 
+def _packed(state) -> bytes:
+    """A state's members in a fixed order, eight bytes each."""
+    return array("q", sorted((x[0] << 2 | x[1]) << 21 | (ord(x[2]) if len(x) == 3 and x[2] else 0) for x in state)).tobytes()
+
+
+def _members(packed: bytes) -> list[tuple[int, int, str]]:
+    return [(x >> 23, x >> 21 & 3, chr(x & 0x1FFFFF) if x & 0x1FFFFF else "") for x in array("q", packed)]
+
+
 class Lexicon:
     """Stems in a trie, intersected with the Levenshtein automata of one edit of all of them.
 
@@ -70,10 +84,11 @@ class Lexicon:
         self.reset()
 
     def reset(self) -> None:
-        self.ids: dict[frozenset, int] = {}
-        self.states: list[frozenset] = []
+        self.ids: dict[bytes, int] = {}
+        self.states: list[bytes] = []
         self.found: list[tuple | None] = []
         self.moves: list[dict[str, int]] = []
+        self.held = 0
         self.begin = self._state(self._closed({(0, 0)}))
 
     def _closed(self, state: set) -> frozenset:
@@ -86,17 +101,19 @@ class Lexicon:
         return frozenset(x for x in wider if x[1] == 0 or (x[0], 0) not in wider)
 
     def _state(self, state: frozenset) -> int:
-        if state not in self.ids:
-            self.ids[state] = len(self.states)
-            self.states.append(state)
+        packed = _packed(state)
+        if packed not in self.ids:
+            self.ids[packed] = len(self.states)
+            self.states.append(packed)
             self.moves.append({})
+            self.held += OF_STATE + len(packed)
             hits = [(e, -self.weights[self.stem_at[n]], self.stem_at[n]) for n, e in state if n in self.stem_at and (not e or len(self.stem_at[n]) >= FUZZY)]
             self.found.append(min(hits) if hits else None)
-        return self.ids[state]
+        return self.ids[packed]
 
     def _move(self, state: int, c: str) -> int:
         after = set()
-        for node, edits in self.states[state]:
+        for node, edits, _ in _members(self.states[state]):
             child = self.children[node].get(c)
             if child is not None:
                 after.add((child, edits))
@@ -109,9 +126,9 @@ class Lexicon:
     def match(self, word: str) -> tuple[str, int] | None:
         """(stem, edits) of the best stem that the word begins with: fewest edits, then the heaviest.
 
-        States are forgotten between words where there are too many; one word adds no more than the longest stem has letters, and its edits.
+        States are forgotten between words where they take too much; one word adds no more than the longest stem has letters, and its edits.
         """
-        if len(self.states) > CACHE:
+        if self.held > STATE_BYTES:
             self.reset()
         state, best = self.begin, None
         moves, states, found = self.moves, self.states, self.found
@@ -153,17 +170,19 @@ class WideLexicon(Lexicon):
         return frozenset((node, edits, waits) for (node, waits), edits in least.items())
 
     def _state(self, state: frozenset) -> int:
-        if state not in self.ids:
-            self.ids[state] = len(self.states)
-            self.states.append(state)
+        packed = _packed(state)
+        if packed not in self.ids:
+            self.ids[packed] = len(self.states)
+            self.states.append(packed)
             self.moves.append({})
+            self.held += OF_STATE + len(packed)
             hits = [(e, -self.weights[self.stem_at[n]], self.stem_at[n]) for n, e, waits in state if not waits and n in self.stem_at and e <= allowed(self.stem_at[n])]
             self.found.append(min(hits) if hits else None)
-        return self.ids[state]
+        return self.ids[packed]
 
     def _move(self, state: int, c: str) -> int:
         after = set()
-        for node, edits, waits in self.states[state]:
+        for node, edits, waits in _members(self.states[state]):
             if waits:
                 if waits == c:
                     after.add((node, edits, ""))
@@ -183,14 +202,9 @@ class WideLexicon(Lexicon):
         return to
 
 
-#: A worker's lexicon, kept from task to task with its states.
-_KEPT: dict[str, object] = {}
-
-
 def _words_of(stems: dict[str, float]):
-    if _KEPT.get("stems") != stems:
-        _KEPT.update(stems=stems, words=_Words(WideLexicon(stems)))
-    return _KEPT["words"]
+    """A worker's lexicon, kept from task to task with its states."""
+    return common.kept("toxicity", stems, lambda: _Words(WideLexicon(stems)))
 
 
 class _Words(dict):
@@ -201,7 +215,7 @@ class _Words(dict):
         self.lexicon = lexicon
 
     def __missing__(self, token: str):
-        if len(self) > CACHE:
+        if len(self) > WORDS:
             self.clear()
         found = self.lexicon.match(plain(token))
         if len(token) < 64:
@@ -276,6 +290,7 @@ def _document_counts(docs: DataFrame, wanted=None) -> DataFrame:
             counts.clear()
             return rows
 
+        common.kept("toxicity")
         keep = None if wanted is None else wanted.value
         for batch in batches:
             for text in batch.column(0):
