@@ -1,10 +1,12 @@
 import math
 import re
+import time
 from collections import Counter
 from itertools import product
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 
 from veilspark.llm import hmm
 
@@ -192,3 +194,72 @@ def test_every_round_sees_every_text_until_settled(spark):
     assert abs(model.emits[:4].sum(0) - model.emits[4:8].sum(0)).min() > 0.9
     tripled = hmm.baum_welch(stored.union(stored).union(stored), frequencies, 2)
     assert abs(tripled.emits[:4].sum(0) - tripled.emits[4:8].sum(0)).min() > 0.9
+
+
+ODD = ["", None, "The der", "THE\tÉ\u00a0x\x0b\x0cI\u0130  ", "ends", "begins apart", " ", "", "a\x1cb \x85 \u2003\n\r", "x" * 3000, "the the", None]
+
+
+def test_tokens_of_odd_texts():
+    for texts in (pa.array(ODD), pa.array(ODD, pa.large_string()), pa.array(ODD)[2:9], pa.array(["", None]), pa.array(["", "a"])[:1]):
+        words, numbers, at = hmm.encoded(texts)
+        found = [words[n].as_py() for n in numbers.tolist()]
+        assert [found[a:b] for a, b in zip(at, at[1:])] == [slow_tokens(t) for t in texts.to_pylist()]
+        assert len(set(words.to_pylist())) == len(words)
+
+
+def test_counts_passed_on_in_parts(spark, monkeypatch):
+    rows = [(f"w{k % 7} W{k % 11} once{k} " + "the " * (k % 3),) for k in range(60)] + [(t,) for t in ODD]
+    docs = spark.createDataFrame(rows, "text string").coalesce(1)
+    want = Counter(w for (t,) in rows for w in slow_tokens(t))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+        for most in (5, 40, 400_000):
+            monkeypatch.setattr(hmm, "COUNTS", most)
+            got = hmm.vocabulary(docs).collect()
+            assert len(got) == len(want) and {bytes(r.word): r.n for r in got} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_counts_in_blocks(monkeypatch):
+    draw = np.random.default_rng(12)
+    some = [draw.integers(0, 5, n) for n in (1, 4, 11, 6, 9, 3)]
+    for states in (1, 2, 3, 4):
+        model, found = random_model(5, states, 11), []
+        for block, wide, piece in product((1, 5, 8_000), (0, 2, 256), (7, 400_000)):
+            for name, value in (("BLOCK", block), ("WIDE", wide), ("PIECE", piece)):
+                monkeypatch.setattr(hmm, name, value)
+            into = [np.zeros(states), np.zeros((states, states)), np.zeros((5, states)), 0.0]
+            hmm.expected_counts(model, some, into)
+            found.append(into)
+        assert np.isclose(found[0][3], hmm.log_likelihoods(model, some).sum()) and np.isclose(found[0][2].sum(), sum(map(len, some)))
+        assert all(np.allclose(a, b) for into in found for a, b in zip(into, found[0]))
+
+
+def test_a_round_takes_few_times_its_gathers_and_counts():
+    """A training round, of which the data asks for many, against the plain work of emissions by states: 5.2 to 5.5 times it before, 2.7 since."""
+    draw, size = np.random.default_rng(6), 65_536
+    frequencies = 1 / np.arange(1.0, size + 1)
+    frequencies /= frequencies.sum()
+    some = [draw.choice(size, n, p=frequencies).astype(np.uint16) for n in draw.integers(50, 500, 1500)]
+    model, classes = hmm.first_model(frequencies, 8), np.concatenate(some).astype(np.int32)
+    emits = np.ascontiguousarray(model.emits.T)
+
+    def plain():
+        seen = emits.take(classes, axis=1)
+        for k in range(8):
+            np.bincount(classes, weights=seen[k], minlength=size)
+
+    def counts():
+        hmm.expected_counts(model, some, [np.zeros(8), np.zeros((8, 8)), np.zeros((size, 8)), 0.0])
+
+    def least(work):
+        times = []
+        for _ in range(7):
+            began = time.thread_time()
+            work()
+            times.append(time.thread_time() - began)
+        return min(times)
+
+    assert least(counts) < 4 * least(plain)

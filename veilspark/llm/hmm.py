@@ -8,10 +8,8 @@ which join the vocabulary in a shuffle. So no task ever holds the vocabulary.
 
 from __future__ import annotations
 
-from collections import Counter
-from itertools import repeat
-
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +24,8 @@ STEPS = 64
 SETTLED = 1e-4
 #: Tokens, of all sequences together, that a training pass takes at a time; messages are handed on from piece to piece.
 PIECE = 400_000
+#: Tokens, of whole steps, whose emissions and counts are gone through while they are in a core's cache.
+BLOCK = 8_000
 #: Steps after which forward probabilities are scaled; a product of so many stays far from the least double.
 RESCALE = 8
 #: Tokens beyond which texts are trained on apart from shorter ones, together, as each of them takes as many steps.
@@ -34,43 +34,74 @@ LONG = 1024
 WIDE = 256
 #: Tasks of a training round for each core; each passes on counts of all classes, so they grow with the cluster and not with the corpus.
 TASKS_PER_CORE = 2
-#: Tokens of a batch of classified texts; and of texts recursed over together, in scoring and in training (twice as many of long ones).
-TOGETHER, TRAINED_TOGETHER = 200_000, 1_500_000
+#: Tokens of texts recursed over together, in scoring and in training (twice as many of long ones).
+TRAINED_TOGETHER = 1_500_000
 #: Tables of expected counts that one task, or the driver, adds up.
 FAN = 8
-#: Entries of a task's word counts before they are passed on.
+#: Entries of a task's word counts beyond which they are passed on; twice as many are gathered before repeats are summed.
 COUNTS = 400_000
 #: Weight of the corpus frequencies in each state's emissions, in tokens; and of every move and start.
 PRIOR, MOVE_PRIOR = 20.0, 0.1
 SEED = 17
 END = b""
+#: For each byte, what it is as a part of a word, and whether it is one.
+LOWERED, IN_WORDS = bytes(range(256)).lower(), bytes(not bytes([b]).isspace() for b in range(256))
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words, A-Z lowered, and the end."""
-    found = (text or "").encode("utf-8").lower().split()
-    found.append(END)
-    return found
+def encoded(texts):
+    """The tokens of an Arrow array of texts: words, A-Z lowered, and an end after each text. As (distinct tokens, the number of
+    each token among these, where each text's tokens begin and the last one's end)."""
+    import numpy as np
+
+    texts = texts.fill_null("").cast(pa.large_binary())
+    at = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
+    data, at = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]], at - at[0]
+    kept, edge = np.frombuffer(IN_WORDS, bool)[data], np.zeros(len(data) + 1, bool)
+    edge[at] = True
+    # two bytes of words side by side are of one word, unless one text ends and another begins between them
+    joined = kept[1:] & kept[:-1] & ~edge[1:-1]
+    first, last = kept.copy(), kept.copy()
+    first[1:] &= ~joined
+    last[:-1] &= ~joined
+    first, last = np.flatnonzero(first), np.flatnonzero(last)
+    before = np.searchsorted(first, at)
+    bounds = np.zeros(len(first) + len(texts) + 1, np.int64)
+    bounds[np.arange(1, len(first) + 1) + np.repeat(np.arange(len(texts)), np.diff(before))] = last - first + 1
+    np.cumsum(bounds, out=bounds)
+    lowered = np.frombuffer(LOWERED, np.uint8)[data[kept]]
+    found = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(lowered)]).dictionary_encode()
+    return found.dictionary, found.indices.to_numpy(), before + np.arange(len(at))
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
     """(word, n) over all texts of docs; counts are summed per task before they are shuffled."""
+    import numpy as np
+
     common.small_batches(docs.sparkSession)
+    most = COUNTS
 
-    def run(batches):
-        counts: Counter = Counter()
+    def summed(words, counts):
+        found = pa.concat_arrays(words).dictionary_encode()
+        # sums of whole numbers, so exact as doubles
+        return [found.dictionary], [np.bincount(found.indices.to_numpy(), np.concatenate(counts), len(found.dictionary))]
 
-        def flush():
-            rows = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-            counts.clear()
-            return rows
+    def rows(words, counts):
+        return pa.RecordBatch.from_arrays([words[0].cast(pa.binary()), pa.array(counts[0].astype(np.int64))], names=["word", "n"])
 
+    def run(batches):
+        words, counts = [], []
         for batch in batches:
-            for text in batch.column(0):
-                counts.update(tokens(text.as_py()))
-                if len(counts) > COUNTS:
-                    yield flush()
-        yield flush()
+            if batch.num_rows:
+                some, codes, _ = encoded(batch.column(0))
+                words.append(some)
+                counts.append(np.bincount(codes, minlength=len(some)))
+            if sum(map(len, words)) > 2 * most:
+                words, counts = summed(words, counts)
+                if len(words[0]) > most:
+                    yield rows(words, counts)
+                    words, counts = [], []
+        if words:
+            yield rows(*summed(words, counts))
 
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -108,9 +139,9 @@ def _packed(pieces):
 
 
 class _Forward:
-    """The scaled forward recursion over sequences, step by step through all of them at once, longest first, states by states.
+    """The scaled forward recursion over sequences, step by step through all of them at once, longest first, a row of states a token.
 
-    It goes in pieces of about PIECE tokens. Probabilities are scaled every RESCALE steps and at the end of each piece.
+    It goes in pieces of about PIECE tokens, and through these in blocks of steps. Probabilities are scaled every RESCALE steps and at the end of each piece.
     """
 
     def __init__(self, model: Model, sequences):
@@ -118,7 +149,7 @@ class _Forward:
 
         self.model, self.sequences = model, sequences
         self.sizes = np.array([len(s) for s in sequences])
-        self.onward, self.emits = np.ascontiguousarray(model.moves.T), np.ascontiguousarray(model.emits.T)
+        self.emits, self.ones = np.ascontiguousarray(model.emits), np.ones(len(model.start))
         self.pieces, at = [], 0
         while at < self.sizes[0]:
             n = int(np.searchsorted(-self.sizes, -at, side="left"))
@@ -126,39 +157,63 @@ class _Forward:
             at += self.pieces[-1][2]
 
     def piece(self, number: int, before):
-        """(classes, alive, begins, forward probabilities, scales by step, emission probabilities) of a piece, after the last probabilities of the one before."""
+        """(classes, alive, begins, forward probabilities, scales by step) of a piece, after the last probabilities of the one before."""
         import numpy as np
 
         at, n, length = self.pieces[number]
         classes, alive, begins = _packed([s[at : at + length] for s in self.sequences[:n]])
-        seen = self.emits.take(classes, axis=1)
-        ahead, scales, last = np.empty(seen.shape), {}, 0
-        for t, (b, n) in enumerate(zip(begins.tolist(), alive.tolist())):
-            a = ahead[:, b : b + n]
-            if t:
-                np.matmul(self.onward, ahead[:, last : last + n], out=a)
-            elif before is None:
-                a[:] = self.model.start[:, None]
-            else:
-                np.matmul(self.onward, before, out=a)
-            a *= seen[:, b : b + n]
-            if t % RESCALE == RESCALE - 1 or t == length - 1:
-                scales[t] = a.sum(0)
-                a /= scales[t]
-            last = b
-        return classes, alive, begins, ahead, scales, seen
+        ahead, scales = np.empty((len(classes), len(self.ones))), {}
+        onward, ones, moves = np.empty((n, len(self.ones))), self.ones, self.model.moves
+        starts, counts = begins.tolist(), alive.tolist()
+        for first, after, low, high in _blocks(starts, counts):
+            self.emitted(classes[low:high].astype(np.intp), ahead[low:high])
+            for t in range(first, after):
+                n, a = counts[t], ahead[starts[t] : starts[t] + counts[t]]
+                if before is None:
+                    a *= self.model.start
+                else:
+                    a *= np.matmul(before[:n], moves, out=onward[:n])
+                if t % RESCALE == RESCALE - 1 or t == length - 1:
+                    scales[t] = a @ ones
+                    a /= scales[t][:, None]
+                before = a
+        return classes, alive, begins, ahead, scales
+
+    def emitted(self, classes, out):
+        """Fills out with the emission probabilities of classes."""
+        return self.emits.take(classes, axis=0, out=out, mode="clip")
 
     def message(self, number: int, begins, ahead):
         """The last probabilities of the sequences that go on after a piece."""
         going = self.pieces[number + 1][1] if number + 1 < len(self.pieces) else 0
-        return ahead[:, begins[-1] : begins[-1] + going].copy()
+        return ahead[begins[-1] : begins[-1] + going].copy()
 
     def totals(self, number: int, begins, ahead):
         """The sum of probabilities at each sequence's last step in a piece: 1 where it goes on."""
         import numpy as np
 
         at, n, length = self.pieces[number]
-        return ahead[:, begins[np.minimum(self.sizes[:n] - at, length) - 1] + np.arange(n)].sum(0)
+        return ahead[begins[np.minimum(self.sizes[:n] - at, length) - 1] + np.arange(n)] @ self.ones
+
+
+def _blocks(starts, counts):
+    """(first step, step after the last, first token, token after the last) of the runs of steps, of about BLOCK tokens, in a piece."""
+    found, first, low = [], 0, 0
+    for t, high in enumerate(map(int.__add__, starts, counts)):
+        if high - low >= BLOCK or t + 1 == len(counts):
+            found.append((first, t + 1, low, high))
+            first, low = t + 1, high
+    return found
+
+
+def _add_rows(into, classes, rows) -> None:
+    """Adds each row to that of its class, by pairs of doubles where states are even: a complex number adds both at once."""
+    import numpy as np
+
+    kind = float if into.shape[1] % 2 else complex
+    sums, parts = into.view(kind), rows.view(kind)
+    for k in range(sums.shape[1]):
+        np.add.at(sums[:, k], classes, parts[:, k])
 
 
 def expected_counts(model: Model, sequences, into) -> None:
@@ -169,55 +224,52 @@ def expected_counts(model: Model, sequences, into) -> None:
     """
     import numpy as np
 
-    states, backward = len(model.start), model.moves
+    states, backward = len(model.start), np.ascontiguousarray(model.moves.T)
     way = _Forward(model, sorted(sequences, key=len, reverse=True))
     hold = way.sizes.sum() <= 2.2 * TRAINED_TOGETHER
     messages, passes = [None], []
     for number in range(len(way.pieces)):
         made = way.piece(number, messages[-1])
         messages.append(way.message(number, made[2], made[3]))
-        passes.append(made[:5] if hold or number + 1 == len(way.pieces) else None)
-    later, moved = np.empty((states, 0)), np.zeros((states, states))
+        passes.append(made if hold or number + 1 == len(way.pieces) else None)
+    # what the step after passes back to each sequence that goes on: emission times all that follows, scaled as ahead is
+    later, moved = np.empty((0, states)), np.zeros((states, states))
     for number in reversed(range(len(way.pieces))):
-        kept = passes.pop()
-        classes, alive, begins, ahead, scales, seen = (*kept, way.emits.take(kept[0], axis=1)) if kept else way.piece(number, messages[number])
+        classes, alive, begins, ahead, scales = passes.pop() or way.piece(number, messages[number])
         totals = way.totals(number, begins, ahead)
         into[3] += sum(np.log10(c).sum() for c in scales.values()) + np.log10(totals).sum()
-        behind = np.empty(ahead.shape)
         starts, counts = begins.tolist(), alive.tolist()
-        # moves are counted step by step where many sequences go on, else for the whole piece at once
-        wide = len(classes) > WIDE * len(counts)
-        # seen becomes what a step passes back: emission times all that follows, scaled as ahead is
-        for t in range(len(counts) - 1, -1, -1):
-            b, n = starts[t], counts[t]
-            beta = behind[:, b : b + n]
-            if t + 1 < len(counts):
-                going = counts[t + 1]
-                np.matmul(backward, seen[:, starts[t + 1] : starts[t + 1] + going], out=beta[:, :going])
-            else:
-                going = later.shape[1]
-                beta[:, :going] = later
-            if going < n:
-                beta[:, going:] = 1 / totals[going:n]
-            passed = seen[:, b : b + n]
-            passed *= beta
-            if t in scales:
-                passed /= scales[t]
-            if t and wide:
-                moved += ahead[:, starts[t - 1] : starts[t - 1] + n] @ passed.T
-        n = counts[0]
+        for first, after, low, high in reversed(_blocks(starts, counts)):
+            # moves are counted step by step where many sequences go on, else for the whole block at once
+            wide = high - low > WIDE * (after - first)
+            own = classes[low:high].astype(np.intp)
+            seen = way.emitted(own, np.empty((high - low, states)))
+            behind = np.empty((counts[first] if wide else high - low, states))
+            for t in range(after - 1, first - 1, -1):
+                b, n, going = starts[t], counts[t], len(later)
+                beta = behind[:n] if wide else behind[b - low : b - low + n]
+                np.matmul(later, backward, out=beta[:going])
+                if going < n:
+                    beta[going:] = 1 / totals[going:n, None]
+                later = seen[b - low : b - low + n]
+                later *= beta
+                if t in scales:
+                    later /= scales[t][:, None]
+                if wide:
+                    ahead[b : b + n] *= beta
+                    if t:
+                        moved += ahead[starts[t - 1] : starts[t - 1] + n].T @ later
+            if not wide:
+                # each token but a piece's first ones comes after the token as many places before it as were there then
+                t, b = max(first, 1), max(low, counts[0])
+                before = np.arange(b, high) - np.repeat(alive[t - 1 : after - 1], alive[t:after])
+                moved += ahead.take(before, axis=0).T @ seen[b - low :]
+                ahead[low:high] *= behind
+            _add_rows(into[2], own, ahead[low:high])
         if number:
-            moved += messages[number] @ seen[:, :n].T
-            later = backward @ seen[:, :n]
-        if not wide:
-            # each token but a piece's first ones comes after the token as many places before it as were there then
-            before = np.arange(n, len(classes)) - np.repeat(alive[:-1], alive[1:])
-            moved += ahead.take(before, axis=1) @ seen[:, n:].T
-        ahead *= behind
-        if not number:
-            into[0] += ahead[:, :n].sum(1)
-        for k in range(states):
-            into[2][:, k] += np.bincount(classes, weights=ahead[k], minlength=len(into[2]))
+            moved += messages[number].T @ later
+        else:
+            into[0] += ahead[: counts[0]].sum(0)
     into[1] += model.moves * moved
 
 
@@ -229,7 +281,7 @@ def log_likelihoods(model: Model, sequences):
     way = _Forward(model, [sequences[i] for i in order])
     logs, before = np.zeros(len(order)), None
     for number, (_, n, _) in enumerate(way.pieces):
-        _, _, begins, ahead, scales, _ = way.piece(number, before)
+        _, _, begins, ahead, scales = way.piece(number, before)
         for c in scales.values():
             logs[: len(c)] += np.log10(c)
         logs[:n] += np.log10(way.totals(number, begins, ahead))
@@ -365,24 +417,25 @@ def classified(frame: DataFrame, head: list[bytes], counts) -> DataFrame:
 
     def run(batches):
         head, counts = sent.value
-        classes, size = {w: i for i, w in enumerate(head)}, len(head)
+        head, size = pa.array(head, pa.large_binary()), len(head)
         kind = _class_type(size + 1)
-        logs, known = np.append(np.log10(counts + 1), 0.0), np.append(counts > 0, False)
-        kinds = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("learned", pa.bool_()), ("classes", pa.binary()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int32()))])
+        logs, known = np.append(np.log10(counts + 1), 0.0), np.append(counts > 0, False).astype(np.int64)
+        names = ["doc_id", "row", "learned", "classes", "n_tokens", "n_known", "base", "rare", "times"]
         for batch in batches:
-            rows, held = [], 0
-            ids, marks, learned = (batch.column(k).to_pylist() for k in range(3))
-            for number, text in enumerate(batch.column(3)):
-                words = tokens(text.as_py())
-                s = np.fromiter(map(classes.get, words, repeat(size)), kind, len(words))
-                rest = Counter([words[i] for i in np.flatnonzero(s == size)])
-                rows.append((ids[number], marks[number], learned[number], s.tobytes(), len(s), int(known[s].sum()), float(logs[s].sum()), list(rest), list(rest.values())))
-                held += len(s)
-                if held > TOGETHER:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds.types)], schema=kinds)
-                    rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds.types)], schema=kinds)
+            if not batch.num_rows:
+                continue
+            words, codes, at = encoded(batch.column(3))
+            s = pc.index_in(words, head).fill_null(size).to_numpy().astype(kind)[codes]
+            stored = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(at * s.itemsize), pa.py_buffer(s)])
+            rest = np.flatnonzero(s == size)
+            of = np.repeat(np.arange(batch.num_rows), np.diff(at))[rest]
+            # each text's distinct rare words, text by text
+            rare, times = np.unique(of * len(words) + codes[rest], return_counts=True)
+            lists = pa.array(np.searchsorted(rare, np.arange(len(at)) * len(words)), pa.int32())
+            rare = words.take(pa.array(rare % len(words))).cast(pa.binary())
+            numbers = [np.diff(at), np.add.reduceat(known[s], at[:-1]), np.add.reduceat(logs[s], at[:-1])]
+            lists = [pa.ListArray.from_arrays(lists, x) for x in (rare, pa.array(times, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], stored.cast(pa.binary()), *map(pa.array, numbers), *lists], names=names)
 
     made = frame.select("doc_id", F.monotonically_increasing_id().alias("row"), "learned", "text").mapInArrow(
         run, "doc_id long, row long, learned boolean, classes binary, n_tokens long, n_known long, base double, rare array<binary>, times array<int>"
